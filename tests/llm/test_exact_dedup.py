@@ -5,7 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm.exact_dedup import exact_dedup
+from textloom.llm.exact_dedup import drop_copies, exact_dedup
 
 
 def brute(rows):
@@ -16,7 +16,7 @@ def brute(rows):
     for norm, members in groups.items():
         keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
         for doc_id, _ in members:
-            out.append((doc_id, keep, len(members), doc_id is not None and doc_id == keep, hashlib.sha256(norm.encode()).hexdigest()))
+            out.append((doc_id, keep, len(members), doc_id == keep, hashlib.sha256(norm.encode()).hexdigest()))
     return sorted(out, key=str)
 
 
@@ -41,3 +41,12 @@ def test_hot_group_and_empty_table(docs_of):
     rows = [(i, "copy  " if i == 77 else "copy") for i in range(500)]
     assert {(r.keep_id, r.group_size) for r in exact_dedup(docs_of(rows)).collect()} == {(77, 500)}
     assert exact_dedup(docs_of([])).collect() == []
+
+
+def test_drop_copies_keeps_one_row_of_each_text(docs_of):
+    df = docs_of(CASES)
+    found = drop_copies(df)
+    assert found.columns == df.columns
+    kept = sorted(((r.doc_id, re.sub(r"[\x20\x09-\x0D]", "", r.text or "")) for r in found.collect()), key=str)
+    assert kept == sorted({(d, re.sub(r"[\x20\x09-\x0D]", "", t or "")) for (d, t), b in [((d, t), b) for d, t in CASES for b in brute(CASES) if b[0] == d and b[3] and b[4] == hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()]}, key=str)
+    assert len({t for _, t in kept}) == len(kept) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in CASES})

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from textloom.llm.language_id import KneserNey, LanguageModel, _grams, _spelled, language_id
+from textloom.llm.language_id import KneserNey, LanguageModel, _grams, _spelled, language_filter, language_id
 
 SYLLABLES = {"aa": "ba ke lo mi nu".split(), "bb": "tra sche ung keit zu".split(), "cc": "cion mente ado ñar el".split()}
 
@@ -77,11 +77,15 @@ def test_held_out_accuracy_and_rejection(docs_of):
     assert by[903].lang_pred == "bb" and by[905].lang_pred == "cc" and by[904].rejected
     assert not any(by[i].rejected for i in [*range(300), 903, 905])
     assert all(0 <= r.score <= 1 for r in found)
+    kept = language_filter(docs_of(rows))
+    assert kept.columns == docs_of(rows).columns
+    assert sorted((str(r.doc_id) for r in kept.collect())) == sorted(str(r.doc_id) for r in found if not r.rejected)
 
 
 def test_nothing_to_learn_from(docs_of):
     assert [r.lang_pred for r in language_id(docs_of([(1, "abc"), (2, None)])).collect()] == ["und", "und"]
-    assert language_id(docs_of([])).collect() == []
+    assert language_id(docs_of([])).collect() == language_filter(docs_of([])).collect() == []
+    assert [r.doc_id for r in language_filter(docs_of([(1, "abc"), (2, None), (3, "1")])).collect()] == [1]
 
 
 def test_labels_sources_and_ids_are_no_inputs(docs_of):

@@ -46,9 +46,9 @@ def exact_dedup(
     texts is looked up by the text as well.
 
     Cases: null text = empty text; texts of blanks only form the group of the empty text; ties on length go to the
-    smallest id; repeated rows (same id) are separate members, all kept if their id wins; a null id comes last on ties
-    and is never kept, a group whose winner has no id has keep_id null; an empty table gives no rows; other columns
-    are ignored, whatever their names.
+    smallest id; repeated rows (same id) are separate members, all kept if their id wins; a null id comes last on ties,
+    a group whose winner has no id has keep_id null and keeps its rows without id; an empty table gives no rows; other
+    columns are ignored, whatever their names.
     """
     digest = digest or (lambda norm: F.sha2(norm, 256))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
@@ -58,15 +58,29 @@ def exact_dedup(
     salted = rows.groupBy("salt", "digest", "norm").agg(F.max(_rank(F.col("chars"), F.col("doc_id"))).alias("best"), F.count("*").alias("n"))
     whole = salted.groupBy("digest", "norm").agg(F.max("best").alias("best"), F.sum("n").alias("group_size"))
     keep = _best_id(F.col("best"))
-    winners = cut(whole.select("digest", F.xxhash64("norm").alias("variant"), keep.alias("keep_id"), "group_size"))
-
-    counted = winners.groupBy("digest").agg(F.count("*").alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size"))
-    mixed = winners.join(counted.where("texts > 1").select("digest"), "digest", "left_semi")
+    winners = whole.select("digest", keep.alias("keep_id"), "group_size")
+    counted = cut(winners.groupBy("digest").agg(F.count("*").alias("texts"), F.first("keep_id").alias("keep_id"), F.first("group_size").alias("group_size")))
+    mixed = counted.where("texts > 1").select("digest")
     slim = rows.select("doc_id", "digest")
     found = slim.join(counted.where("texts = 1"), "digest").select("doc_id", "digest", "keep_id", "group_size")
     if not mixed.isEmpty():
-        shared = counted.where("texts > 1").select("digest")
-        full = whole.join(shared, "digest", "left_semi").select("digest", "norm", keep.alias("keep_id"), "group_size")
-        texts = rows.join(shared, "digest", "left_semi").join(full, ["digest", "norm"])
+        full = whole.join(mixed, "digest", "left_semi").select("digest", "norm", keep.alias("keep_id"), "group_size")
+        texts = rows.join(mixed, "digest", "left_semi").join(full, ["digest", "norm"])
         found = found.union(texts.select("doc_id", "digest", "keep_id", "group_size"))
-    return found.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows that exact_dedup() keeps, with all their columns: one row for each group of equal texts."""
+    winners = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    keyed = docs.withColumn("_key", F.sha2(normalised(F.col(text_col)), 256))
+    met = keyed.join(winners, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi")
+    return met.dropDuplicates([id_col, "_key"]).select(*docs.columns)
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+g AS (SELECT norm, count(*) AS group_size, first(doc_id ORDER BY chars DESC, doc_id) AS keep_id FROM d GROUP BY norm)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)
+"""

@@ -191,6 +191,18 @@ class LanguageModel:
         return out
 
 
+def predict_all(model: LanguageModel, texts: pa.Array) -> list[tuple]:
+    """predict() of a column, about a million characters at a time."""
+    found, part, size = [], [], 0
+    for text in texts.to_pylist():
+        part.append(text or "")
+        size += len(part[-1])
+        if size > 1_000_000:
+            found += model.predict(part)
+            part, size = [], 0
+    return found + model.predict(part)
+
+
 def train(docs: DataFrame, learnable, docs_per_language: int = DOCS_PER_LANGUAGE, max_chars: int = MAX_CHARS, order: int = ORDER) -> LanguageModel | None:
     """Fits the models on a bounded sample of labelled rows; None if there are none.
 
@@ -234,16 +246,8 @@ def language_id(docs: DataFrame, model: LanguageModel | None = None, id_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            found, part, size = [], [], 0
-            for text in batch.column(2).to_pylist():
-                part.append(text or "")
-                size += len(part[-1])
-                if size > 1_000_000:
-                    found += own.predict(part)
-                    part, size = [], 0
-            found += own.predict(part)
+            found = predict_all(shared.value, batch.column(2))
             lang, score, entropy, letters, rejected = zip(*found, strict=True) if found else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(letters, pa.int64()), pa.array(rejected, pa.bool_())],
@@ -251,3 +255,21 @@ def language_id(docs: DataFrame, model: LanguageModel | None = None, id_col: str
             )
 
     return rows.select("doc_id", held, "text").mapInArrow(run, SCHEMA)
+
+
+def language_filter(docs: DataFrame, model: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows that language_id() doesn't reject, with all their columns. No shuffle; without a labelled row, none is rejected but those without a letter."""
+    if model is None:
+        fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+        model = train(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), fold != 0)
+    if model is None:
+        return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
+    model.start()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not p[4] for p in predict_all(shared.value, batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -182,8 +182,9 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     Sets are compared by 64-bit hashes of their grams. A pair at the threshold goes unseen with probability 1e-7.
 
     Cases: null or empty text, or text without a word: no links, a class of its own; a null id: never compared, null
-    set_id and class_id, kept; repeated rows count as separate rows of the same set; equal similarities need no order;
-    an empty table gives no rows; other columns are ignored, whatever their names.
+    set_id and class_id, kept; repeated rows count as separate rows of the same set; an id that stands for different
+    texts has the links of one of them; equal similarities need no order; an empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketched = cut(rows.mapInArrow(_sketch, "doc_id long, digest binary, keys array<long>"))
@@ -199,3 +200,30 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     done = out.select("doc_id", "set_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     alone = sketched.where("doc_id is null or digest is null").select("doc_id", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
     return done.union(alone)
+
+
+def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that ngram_join() keeps, with all their columns: one document of each class."""
+    kept = ngram_join(docs, threshold, block, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 4, 1) + 1), lambda i: array_to_string(words[i:i + 4], ' ')))) AS grams
+  FROM w WHERE len(words) > 0),
+sets AS (SELECT grams, min(doc_id) AS set_id, count(*) AS mult, len(grams) AS size FROM s GROUP BY grams),
+g AS (SELECT set_id, size, unnest(grams) AS gram FROM sets),
+pairs AS (
+  SELECT a.set_id AS x, b.set_id AS y FROM g a JOIN g b ON a.gram = b.gram AND a.set_id <> b.set_id
+  GROUP BY a.set_id, b.set_id, a.size, b.size HAVING 5 * count(*) >= 4 * (a.size + b.size - count(*))),
+reach AS (SELECT set_id AS node, set_id AS low FROM sets UNION SELECT p.y, r.low FROM reach r JOIN pairs p ON p.x = r.node),
+classes AS (SELECT node, min(low) AS class_id FROM reach GROUP BY node),
+links AS (SELECT x, sum(mult) AS n FROM pairs JOIN sets ON set_id = y GROUP BY x)
+SELECT s.doc_id, sets.set_id, class_id, CAST(coalesce(n, 0) + mult - 1 AS BIGINT) AS n_links, s.doc_id = class_id AS kept
+FROM s JOIN sets USING (grams) JOIN classes ON node = sets.set_id LEFT JOIN links ON x = sets.set_id
+UNION ALL
+SELECT doc_id, doc_id, doc_id, 0, true FROM w WHERE len(words) = 0
+"""

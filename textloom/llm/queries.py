@@ -6,10 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+from textloom.llm import embedding_dedup as vectors
+from textloom.llm import exact_dedup as copies
+from textloom.llm import line_dedup as lines
+from textloom.llm import ngram_join as joins
+from textloom.llm import source_mix as mixes
 from textloom.llm.embedding_dedup import embedding_dedup
 from textloom.llm.exact_dedup import exact_dedup
 from textloom.llm.language_id import language_id
+from textloom.llm.license_scan import license_scan
+from textloom.llm.line_dedup import page_line_dedup
 from textloom.llm.ngram_join import ngram_join
+from textloom.llm.secret_scan import secret_scan
+from textloom.llm.sentence_pieces import sentencepiece_encode
+from textloom.llm.source_mix import mix_sources
 from textloom.llm.token_counts import token_counts
 from textloom.session import table
 
@@ -21,6 +32,14 @@ def vocabulary(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -29,6 +48,14 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_line_dedup(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -41,9 +68,15 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The operators that SQL can express; the others are tested against brute force, a library or held-out accuracy."""
+    return {"op4_exact_dedup": copies.SQL, "op5_source_mix": mixes.sql(), "op6_line_dedup": lines.SQL, "op8_ngram_join": joins.SQL, "op9_embedding_dedup": vectors.SQL}
