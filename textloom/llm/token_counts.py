@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -118,6 +119,12 @@ class WordBpe:
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def word_bpe(path: str) -> WordBpe:
+    """The model of a file, once per process, with the words that it has cached."""
+    return WordBpe(path)
+
+
 def _apart(at: np.ndarray) -> np.ndarray:
     """Of places in a row (i, i + 1, ...), every second from the leftmost: pairs that overlap are merged from the left."""
     if len(at) < 2:
@@ -145,7 +152,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = WordBpe(vocabulary)
+        bpe = word_bpe(vocabulary)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             counts, part, size = [], [], 0
