@@ -20,13 +20,13 @@ POLARITY = {"virtue": "pos", "vice": "neg", "pos": "pos", "neg": "neg"}
 def whole_text(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
     """(path, content) of small files, decoded with replacement."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", F.lit(encoding)).alias("content"))
+    return files.select("path", F.decode("content", encoding).alias("content"))
 
 
 def read_keywords(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
     """(lang, keyword) of a JSON object {language: [keyword, ...]}; blanks go, repeats count once."""
     parsed = F.from_json("content", "map<string,array<string>>")
-    rows = whole_text(spark, path).select(F.explode(parsed).alias("lang", "words")).select("lang", F.trim(F.explode("words")).alias("keyword"))
+    rows = whole_text(spark, path).select(F.explode(parsed).alias("lang", "words")).select("lang", F.explode(F.transform("words", lambda w: F.trim(w))).alias("keyword"))
     rows = rows.where("keyword <> ''").distinct()
     return rows.where(F.col("lang") == lang) if lang else rows
 

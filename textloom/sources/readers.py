@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from textloom.functions.text import c
 
-ENCODINGS = ("utf-8", "gb18030", "latin1")
+ENCODINGS = ("utf-8", "gb18030", "iso-8859-1")
+BUILT_IN = ("iso-8859-1", "us-ascii", "utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32")  # others need Java's charsets
 SEPARATORS = (",", "\t", ";")
 DOCUMENTS = "doc_id bigint, text string, lang string, topic int"
 # Records of crawlers, whose fetching is not part of the engine. Fixed column names.
@@ -29,6 +30,8 @@ CRAWL_SCHEMAS = {
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None, sep: str = ",", encoding: str = "utf-8", tolerant: bool = False, strings: bool = False) -> DataFrame:
     """CSV with header, quoted line ends and doubled quotes. `strings` keeps every column text, `tolerant` skips bad lines."""
+    if encoding.lower() not in BUILT_IN:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     r = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("sep", sep).option("encoding", encoding)
     r = r.option("mode", "DROPMALFORMED" if tolerant else "PERMISSIVE")
     if schema:
