@@ -140,19 +140,24 @@ def window_expressions(text: Column | str, lang: Column | str, vocabulary: Colum
 
     def of_row(r: Column) -> Column:
         words = r["words"]
+        near = lambda w, target: w.contains(target) | target.contains(w)
 
-        def of_target(target: Column) -> Column:
-            places = F.filter(F.transform(words, lambda w, i: F.when(w.contains(target) | target.contains(w), i)), lambda i: i.isNotNull())
-            context = F.substr(r["text"], F.greatest(F.instr(r["low"], target) - before, F.lit(1)), F.lit(length))
+        def verbs(i: Column) -> Column:
+            window = F.array_join(F.slice(words, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1), " ")
+            return F.regexp_extract_all(window, r["pattern"], F.lit(0))
 
-            def at(i: Column) -> Column:
-                window = F.array_join(F.slice(words, F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1), " ")
-                return F.transform(F.regexp_extract_all(window, r["pattern"], F.lit(0)), lambda w: F.struct(w.alias("verb")))
+        def of_present(present: Column) -> Column:
+            places = F.filter(F.transform(words, lambda w, i: F.when(F.exists(present, lambda t: near(w, t)), i)), lambda i: i.isNotNull())
+            found = F.transform(places, lambda i: F.struct(F.get(words, i).alias("word"), verbs(i).alias("verbs")))
 
-            found = F.array_distinct(F.flatten(F.transform(places, at)))
-            return bind(context, lambda x: F.transform(found, lambda w: F.struct(F.lit("window").alias("layer"), target.alias("target"), w["verb"].alias("verb"), w["verb"].alias("predicate"), F.lit("unknown").alias("role"), x.alias("context"))))
+            def of_target(found: Column, target: Column) -> Column:
+                context = F.substr(r["text"], F.greatest(F.instr(r["low"], target) - before, F.lit(1)), F.lit(length))
+                own = F.array_distinct(F.flatten(F.transform(F.filter(found, lambda x: near(x["word"], target)), lambda x: x["verbs"])))
+                return bind(context, lambda k: F.transform(own, lambda w: F.struct(F.lit("window").alias("layer"), target.alias("target"), w.alias("verb"), w.alias("predicate"), F.lit("unknown").alias("role"), k.alias("context"))))
 
-        return F.flatten(F.transform(F.filter(r["terms"], lambda v: r["low"].contains(v)), of_target))
+            return bind(found, lambda f: F.flatten(F.transform(present, lambda t: of_target(f, t))))
+
+        return bind(F.filter(r["terms"], lambda v: r["low"].contains(v)), of_present)
 
     return bind(row, of_row)
 

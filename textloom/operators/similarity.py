@@ -233,3 +233,37 @@ def leak_verdict(val: DataFrame, found: DataFrame, limit: float = 0.05) -> DataF
     n = val.count()
     share = lambda kind: r6(F.count_if(F.col("kind") == kind) / F.lit(float(max(n, 1))))
     return found.agg(share("exact").alias("exact_rate"), share("fuzzy").alias("fuzzy_rate")).select(F.lit(n).alias("rows"), "exact_rate", "fuzzy_rate", (F.col("exact_rate") + F.col("fuzzy_rate") > limit).alias("leaking"))
+
+
+def bisecting_topics(df: DataFrame, k: int, vector: str, components: int = 8, least: int = 10, seed: int = 42, out: str = "topic") -> DataFrame:
+    """Topics from vectors: PCA, then bisecting k-means; clusters under `least` rows become noise (-1).
+
+    Stands in for density clustering, which has no distributed form here; where a topic column exists, use that.
+    """
+    from pyspark.ml.clustering import BisectingKMeans
+    from pyspark.ml.feature import PCA
+
+    rows = df.withColumn("_f", array_to_vector(F.col(vector).cast("array<double>")))
+    dim = dim_of(df, vector)
+    if components < dim:
+        rows = PCA(k=components, inputCol="_f", outputCol="_p").fit(rows).transform(rows)
+    else:
+        rows = rows.withColumn("_p", F.col("_f"))
+    placed = BisectingKMeans(k=k, seed=seed, featuresCol="_p", predictionCol=out).fit(rows).transform(rows).drop("_f", "_p")
+    sizes = placed.groupBy(out).agg(F.count("*").alias("_n"))
+    return placed.join(F.broadcast(sizes), out).withColumn(out, F.when(F.col("_n") < least, -1).otherwise(F.col(out))).select(*df.columns, out)
+
+
+def word_topics(docs: DataFrame, k: int, tokens: str = "tokens", min_df: int = 2, size: int = 20_000, seed: int = 42, out: str = "topic") -> tuple[DataFrame, DataFrame]:
+    """(documents with their strongest LDA topic, topic words): topics from words alone."""
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+    from pyspark.ml.functions import vector_to_array
+
+    counter = CountVectorizer(inputCol=tokens, outputCol="_c", minDF=min_df, vocabSize=size).fit(docs)
+    rows = counter.transform(docs)
+    model = LDA(k=k, seed=seed, featuresCol="_c", topicDistributionCol="_d", maxIter=10).fit(rows)
+    placed = model.transform(rows).withColumn("_a", vector_to_array("_d")).withColumn(out, (F.array_position("_a", F.array_max("_a")) - 1).cast("int"))
+    vocabulary = F.array(*[F.lit(w) for w in counter.vocabulary])
+    words = model.describeTopics(10).select(F.col("topic").alias(out), F.transform("termIndices", lambda i: F.get(vocabulary, i)).alias("words"))
+    return placed.select(*docs.columns, out), words

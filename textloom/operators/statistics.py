@@ -144,3 +144,22 @@ def sample_size(population: int, margin: float = 0.03, z: float = 1.96, p: float
     n0 = z * z * p * (1 - p) / margin**2
     n = math.ceil(n0 / (1 + (n0 - 1) / population)) if population else 0
     return min(n, population, cap or population)
+
+
+def focal_loss(logit: Column | str, target: Column | str, alpha: float = 0.25, gamma: float = 2.0) -> Column:
+    """Focal loss of a binary logit: alpha_t (1 - p_t)^gamma times the cross-entropy, which is computed without overflow."""
+    x, y = c(logit).cast("double"), c(target).cast("double")
+    bce = F.greatest(x, F.lit(0.0)) - x * y + F.log1p(F.exp(-F.abs(x)))
+    return (y * alpha + (1 - y) * (1 - alpha)) * F.pow(1 - F.exp(-bce), F.lit(gamma)) * bce
+
+
+def vote_rule(label: Column | str, score: Column | str, positive: list[str]) -> Column:
+    """struct(label, prob) of a model's named label and score: 1 if the name is a positive one; prob is the score of that label."""
+    named = F.lower(F.trim(c(label))).isin([p.lower() for p in positive])
+    return F.struct(F.coalesce(named, F.lit(False)).cast("int").alias("label"), F.coalesce(c(score).cast("double"), F.lit(0.0)).alias("prob"))
+
+
+def axis_long_table(df: DataFrame, axes: list[str], by: str) -> DataFrame:
+    """by, axis, mean, sample sd, n: the rows behind a chart of means with errors."""
+    m = group_moments(df, axes, by)
+    return m.select(by, "axis", r6(F.col("mean")).alias("mean"), r6(F.sqrt("var_samp")).alias("sd"), "n")

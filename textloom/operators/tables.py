@@ -105,3 +105,46 @@ def oversample(df: DataFrame, positive: Column, times: int = 10, seed: int = 42,
     """Positive rows `times` times, others once, in a seeded order given by the column `shuffle`."""
     copies = df.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(positive, times).otherwise(1))))
     return copies.withColumn("shuffle", F.xxhash64(F.lit(seed), id_col, "copy"))
+
+
+def flags(df: DataFrame, all_of: list[str] | None = None, any_of: list[str] | None = None) -> DataFrame:
+    """Rows whose 0/1 columns are 1: all of the first list, and one of the second."""
+    keep = F.lit(True)
+    for x in all_of or []:
+        keep = keep & F.coalesce(F.col(x) == 1, F.lit(False))
+    hit = F.lit(not any_of)
+    for x in any_of or []:
+        hit = hit | F.coalesce(F.col(x) == 1, F.lit(False))
+    return df.where(keep & hit)
+
+
+def equals_any_case(column: str, *values: str) -> Column:
+    return F.coalesce(F.lower(F.trim(column)).isin([v.lower() for v in values]), F.lit(False))
+
+
+def product_rows(subjects: DataFrame, predicates: DataFrame, subject: str = "subject", predicate: str = "predicate") -> DataFrame:
+    """Every subject with every predicate and their sentence; predicates are gathered into an array, so they must be few."""
+    some = predicates.agg(F.sort_array(F.collect_list(predicate)).alias("_all"))
+    rows = subjects.join(F.broadcast(some)).select(*subjects.columns, F.explode("_all").alias(predicate))
+    return rows.withColumn("text", F.concat_ws(" ", subject, predicate))
+
+
+def translate_names(df: DataFrame, names: str, static: dict[str, str], cache: DataFrame | None = None, translate=None, out: str = "translated") -> DataFrame:
+    """A name's translation: the fixed list, then the cache (key, value), then itself if it is ASCII (in title case), then
+    the plug-in `translate(DataFrame of distinct key) -> (key, value)`, else itself."""
+    fixed = F.create_map(*[F.lit(x) for k, v in static.items() for x in (k.lower(), v)]) if static else F.create_map().cast("map<string,string>")
+    rows = df.withColumn("_key", F.lower(F.trim(names)))
+    ascii_only = F.col("_key").rlike(r"^[\x00-\x7F]*$")
+    known = cache.select(F.lower("key").alias("_key"), F.col("value").alias("_cached")) if cache is not None else None
+    if translate is not None:
+        todo = rows.where(~ascii_only & fixed[F.col("_key")].isNull()).select(F.col("_key").alias("key")).distinct()
+        if known is not None:
+            todo = todo.join(known.withColumnRenamed("_key", "key"), "key", "left_anti")
+        asked = translate(todo).select(F.lower("key").alias("_key"), F.col("value").alias("_cached"))
+        known = asked if known is None else known.unionByName(asked)
+    if known is not None:
+        rows = rows.join(small(known.groupBy("_key").agg(F.max("_cached").alias("_cached"))), "_key", "left")
+    else:
+        rows = rows.withColumn("_cached", F.lit(None).cast("string"))
+    value = F.coalesce(fixed[F.col("_key")], F.col("_cached"), F.when(ascii_only, F.initcap(F.trim(names))), F.col(names))
+    return rows.withColumn(out, value).drop("_key", "_cached")

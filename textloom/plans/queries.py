@@ -20,7 +20,7 @@ from textloom.plans import export as X
 from textloom.plans import stages
 from textloom.sources import readers
 from textloom.streaming import incremental
-from textloom.session import checkpoint_dir, table
+from textloom.session import checkpoint_dir, cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -512,6 +512,71 @@ def exact_leaks(spark, sf):
     return found.where("kind = 'exact'")
 
 
+@query("SELECT doc_id, quality, toxic FROM labels WHERE toxic = 1 AND quality = 1")
+def flag_conjunction(spark, sf):
+    return J.flags(table(spark, sf, "labels"), ["toxic", "quality"]).select("doc_id", "quality", "toxic")
+
+
+@query("SELECT doc_id FROM labels WHERE toxic = 1 OR quality = 1")
+def flag_disjunction(spark, sf):
+    return J.flags(table(spark, sf, "labels"), any_of=["toxic", "quality"]).select("doc_id")
+
+
+@query("SELECT role, count(*) AS turns FROM conversations WHERE lower(role) IN ('user', 'assistant') GROUP BY role")
+def equality_any_case(spark, sf):
+    return table(spark, sf, "conversations").where(J.equals_any_case("role", "USER", "Assistant")).groupBy("role").agg(F.count("*").alias("turns"))
+
+
+@query("SELECT a.n_name AS subject, b.r_name AS predicate, a.n_name || ' ' || b.r_name AS text FROM nation a, region b")
+def product_testset(spark, sf):
+    return J.product_rows(table(spark, sf, "nation").select(F.col("n_name").alias("subject")), table(spark, sf, "region").select(F.col("r_name").alias("predicate")))
+
+
+@query(f"WITH {FRAMED} SELECT lang, frame, count(*) AS count, round_even(count(*) / sum(count(*)) OVER (PARTITION BY lang), 6) AS share FROM f GROUP BY lang, frame")
+def lang_category_share(spark, sf):
+    return S.row_share(framed(spark, sf), ["lang"], "frame")
+
+
+@query(f"{BIASED}, l AS ({MELTED}) SELECT lang, axis, round_even(avg(value), 6) AS mean, round_even(stddev_samp(value), 6) AS sd, count(*) AS n FROM l GROUP BY lang, axis")
+def lang_axis_long(spark, sf):
+    return S.axis_long_table(biased(spark, sf), AXES, "lang")
+
+
+@query("SELECT doc_id, round_even(CASE WHEN toxic = 1 THEN 0.25 ELSE 0.75 END * (1 - p) ** 2 * -ln(p), 6) AS loss FROM (SELECT doc_id, toxic, CASE WHEN toxic = 1 THEN 1 / (1 + exp(-x)) ELSE 1 - 1 / (1 + exp(-x)) END AS p FROM (SELECT doc_id, toxic, (doc_id % 17 - 8) / 3.0 AS x FROM labels))")
+def focal_losses(spark, sf):
+    return table(spark, sf, "labels").select("doc_id", A.r6(S.focal_loss((F.pmod("doc_id", F.lit(17)) - 8) / 3.0, "toxic")).alias("loss"))
+
+
+@query("SELECT n_name AS name, CASE WHEN n_name = 'CHINA' THEN 'Middle Kingdom' ELSE regexp_replace(array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' '), '$', '') END AS translated FROM nation")
+def name_translation(spark, sf):
+    return J.translate_names(table(spark, sf, "nation").select(F.col("n_name").alias("name")), "name", {"china": "Middle Kingdom"})
+
+
+@query("SELECT doc_id, CASE WHEN length(s) <= 28 THEN s ELSE rtrim(s[1:27]) || '…' END AS label FROM (SELECT doc_id, source || ' ' || text[1:40] AS s FROM documents)")
+def short_labels(spark, sf):
+    return docs(spark, sf).select("doc_id", T.short_label(F.concat_ws(" ", "source", F.substring("text", 1, 40))).alias("label"))
+
+
+@query(f"WITH {DOCS} SELECT d.doc_id, b.item_id FROM d, (SELECT item_id, lower(split_part(text, ' ', 3)) AS term FROM benchmark) b WHERE contains(lower(d.text), b.term)")
+def vocabulary_containment(spark, sf):
+    terms = table(spark, sf, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(3)).alias("term"))
+    return J.contains_join(docs(spark, sf).select("doc_id", "text"), terms, "text", "term").select("doc_id", "item_id")
+
+
+@query()
+def vector_topics(spark, sf):
+    out = V.bisecting_topics(table(spark, sf, "embeddings"), 8, "embedding")
+    return out.groupBy("topic").agg(F.count("*").alias("rows"))
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, array_to_string(tokens[greatest(p - 8, 1):p + 8], ' ') AS context FROM (SELECT doc_id, tokens, list_position(tokens, 'the') AS p FROM t) WHERE p > 0")
+def token_context(spark, sf):
+    at = F.array_position("tokens", "the")
+    rows = tokenised(spark, sf).withColumn("p", at).where("p > 0")
+    start = F.greatest(F.col("p") - 8, F.lit(1))
+    return rows.select("doc_id", F.array_join(F.slice("tokens", start.cast("int"), (F.col("p") + 9 - start).cast("int")), " ").alias("context"))
+
+
 # -- layers and streams -----------------------------------------------------------------------------------------------
 
 GAZETTEER = [("the", "article"), ("erthe", "noun"), ("que", "particle"), ("und", "particle")]
@@ -524,14 +589,14 @@ def _who(spark, sf):
 
 @query()
 def who_targets(spark, sf):
-    return X.who_rows(stages.who_targets(_who(spark, sf)))
+    return X.who_rows(stages.who_targets(cut(_who(spark, sf))))
 
 
 @query()
 def how_expressions(spark, sf):
     rows = docs(spark, sf)
-    labelled = stages.how_labels(rows, stages.topic_vocabulary(stages.who_summary(_who(spark, sf))), RULES)
-    return X.how_summary(labelled)
+    vocabulary = cut(stages.topic_vocabulary(stages.who_summary(cut(_who(spark, sf)))))
+    return X.how_summary(cut(stages.how_labels(rows, vocabulary, RULES)))
 
 
 @query(f"WITH {DOCS}, n AS (SELECT *, lower({SQUEEZE.format('text')}) AS s FROM d), p AS (SELECT doc_id, split_part(s, ' ', 1) AS pred, s[1:220] AS ctx, lang FROM n) SELECT doc_id, CASE WHEN pred = '' OR (regexp_full_match(pred, '[a-z'']+') AND length(pred) <= 2) OR (length(pred) = 1 AND NOT regexp_matches(pred, '[a-z]')) THEN 'noise' WHEN (contains(pred, 'tion') OR contains(ctx, 'tion') OR contains(pred, 'ment') OR contains(ctx, 'ment')) THEN CASE WHEN contains(pred || ctx, 'tion') OR contains(ctx, 'tion') THEN 'moral_accusation' ELSE 'institutional_rot' END WHEN pred = 'the' OR (len(regexp_extract_all(pred, '[a-z'']+')) > 0 AND len(list_filter(regexp_extract_all(pred, '[a-z'']+'), lambda w: w <> 'the')) = 0) THEN 'noise' ELSE 'other' END AS frame FROM p")

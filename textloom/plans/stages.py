@@ -60,7 +60,7 @@ def who_targets(entities: DataFrame, top: int = 20) -> DataFrame:
 def topic_vocabulary(summary: DataFrame, top: int = 5, least: int = 2) -> DataFrame:
     """(topic, terms): the first `top` targets of each topic, lower-cased, of at least `least` characters."""
     names = F.transform(F.slice("top_targets", 1, top), lambda x: F.lower(named_count(x)["name"]))
-    return summary.select("topic", F.filter(names, lambda n: F.char_length(n) >= least).alias("terms"))
+    return summary.select("topic", F.array_distinct(F.filter(names, lambda n: F.char_length(n) >= least)).alias("terms"))
 
 
 def how_labels(docs: DataFrame, vocabulary: DataFrame, rules: Rules, classify: Callable[[DataFrame], DataFrame] | None = None, cache: DataFrame | None = None) -> DataFrame:
