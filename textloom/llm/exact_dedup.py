@@ -72,10 +72,13 @@ def exact_dedup(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows that exact_dedup() keeps, with all their columns: one row for each group of equal texts."""
-    winners = exact_dedup(docs, id_col, text_col, salts).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_key", F.sha2(normalised(F.col(text_col)), 256))
-    met = keyed.join(winners, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")), "left_semi")
-    return met.dropDuplicates([id_col, "_key"]).select(*docs.columns)
+    winners = exact_dedup(docs, id_col, text_col, salts).where("kept")
+    known, unnamed = F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()
+    winners = winners.select(known.alias("_id"), unnamed.alias("_none"), F.col("text_sha256").alias("_sha")).distinct()
+    own = F.col(id_col).cast("long")
+    keyed = docs.withColumns({"_id": F.coalesce(own, F.lit(0)), "_none": own.isNull(), "_sha": F.sha2(normalised(F.col(text_col)), 256)})
+    # repeated rows meet in the same place, so that dropping them needs no shuffle of its own
+    return keyed.join(winners, ["_id", "_none", "_sha"], "left_semi").dropDuplicates(["_id", "_none", "_sha"]).select(*docs.columns)
 
 
 SQL = r"""

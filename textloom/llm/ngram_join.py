@@ -155,6 +155,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _words.trim()
         flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), lists(flat, np.array([len(k) for k in keys], dtype=np.int64), pa.int64())], ["doc_id", "digest", "keys"])
+    _words.clear()  # the worker may live on for other stages
 
 
 def _load(columns: dict, i: int) -> tuple[np.ndarray, np.ndarray] | None:

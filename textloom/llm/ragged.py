@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-WORD_LIMIT = 400_000  # words that a worker's cache holds before it starts anew
+WORD_LIMIT = 150_000  # words that a worker's cache holds before it starts anew: about 30 MB
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,14 +38,19 @@ def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=kind))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into slices whose text column holds about `limit` bytes, at least a row each."""
-    offsets = np.frombuffer(batch.column(column).buffers()[1], dtype=np.int64 if pa.types.is_large_string(batch.schema.field(column).type) else np.int32, count=batch.num_rows + 1 + batch.column(column).offset)[batch.column(column).offset :] if batch.num_rows else np.zeros(1, np.int64)
-    start = 0
-    while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(offsets, int(offsets[start]) + limit, side="right")) - 1)
-        yield batch.slice(start, end - start)
-        start = end
+def portions(texts: pa.Array, limit: int = 1_000_000, step: int = 64) -> Iterator[list[str | None]]:
+    """A column as lists of about `limit` characters each, so that a batch never stands in memory twice."""
+    part: list[str | None] = []
+    size = 0
+    for i in range(0, len(texts), step):
+        more = texts.slice(i, step).to_pylist()
+        part += more
+        size += sum(len(t) for t in more if t)
+        if size > limit:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str], row: Callable) -> Iterator[tuple[tuple, list]]:

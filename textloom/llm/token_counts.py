@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.ragged import WORD_LIMIT
+from textloom.llm.ragged import WORD_LIMIT, portions
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _NONE = np.int64(2**62)
@@ -154,17 +154,9 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(vocabulary)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            counts, part, size = [], [], 0
-            for text in texts:
-                part.append(text)
-                size += len(text)
-                if size > 2_000_000:
-                    counts += bpe.count(part)
-                    part, size = [], 0
-            counts += bpe.count(part)
+            counts = [n for part in portions(batch.column(1), 2_000_000) for n in bpe.count(part)]
             tokens = np.array(counts, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([ids, batch.column(2), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(run, SCHEMA)
