@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.ragged import WORD_LIMIT, mix
+from textloom.llm.ragged import WORD_LIMIT, mix, portions
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
 WORD = re.compile(r"[^\W\d_]+")
@@ -147,6 +147,11 @@ class LanguageModel:
         logp[place == 0] = 0
         return np.add.reduceat(logp.astype(np.float64), np.flatnonzero(place == 0), axis=0)
 
+    def rejects(self, language: int, entropy: float, letters: int) -> bool:
+        """Above the calibrated limit, and nearer to a uniform guess of letters than to its language; text of two known languages is neither."""
+        half = 0.5 * (-self.floor - self.mean[language])
+        return bool(self.deviation(language, entropy, letters) > self.limit and entropy - self.mean[language] > half)
+
     def learn_words(self, words: list[str]) -> None:
         """Scores the words that the cache lacks, all at once."""
         index = self.index
@@ -187,20 +192,13 @@ class LanguageModel:
             entropy, letters = self.of_words(words)
             best = int(np.argmin(entropy))
             weight = np.exp((entropy[best] - entropy) * min(letters, 20))
-            out.append((self.languages[best], float(1 / weight.sum()), float(entropy[best]), letters, bool(self.deviation(best, entropy[best], letters) > self.limit)))
+            out.append((self.languages[best], float(1 / weight.sum()), float(entropy[best]), letters, self.rejects(best, entropy[best], letters)))
         return out
 
 
 def predict_all(model: LanguageModel, texts: pa.Array) -> list[tuple]:
     """predict() of a column, about a million characters at a time."""
-    found, part, size = [], [], 0
-    for text in texts.to_pylist():
-        part.append(text or "")
-        size += len(part[-1])
-        if size > 1_000_000:
-            found += model.predict(part)
-            part, size = [], 0
-    return found + model.predict(part)
+    return [p for part in portions(texts) for p in model.predict([t or "" for t in part])]
 
 
 def train(docs: DataFrame, learnable, docs_per_language: int = DOCS_PER_LANGUAGE, max_chars: int = MAX_CHARS, order: int = ORDER) -> LanguageModel | None:
@@ -230,7 +228,7 @@ def language_id(docs: DataFrame, model: LanguageModel | None = None, id_col: str
     Without a model, one is trained on the rows whose crc32(doc_id) mod 5 is not 0. The language with the lowest
     cross-entropy per letter wins; score is its weight among all languages over a stretch of up to 20 letters. A row is
     rejected if it has no letter, or if its cross-entropy lies further above its language's mean than `limit`
-    deviations, which is set from documents that the models have not seen.
+    deviations (set from documents that the models have not seen) and nearer to a uniform guess of letters.
 
     Cases: null text, or text without a letter: `und`, score 0, rejected; ties go to the first language by name; no
     labelled row to learn from: all rows `und`; null id: not held out and never learnt from; repeated rows are
@@ -253,6 +251,7 @@ def language_id(docs: DataFrame, model: LanguageModel | None = None, id_col: str
                 [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(letters, pa.int64()), pa.array(rejected, pa.bool_())],
                 ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "n_letters", "rejected"],
             )
+        shared.value.start()  # the worker may live on for other stages
 
     return rows.select("doc_id", held, "text").mapInArrow(run, SCHEMA)
 
@@ -271,5 +270,6 @@ def language_filter(docs: DataFrame, model: LanguageModel | None = None, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([not p[4] for p in predict_all(shared.value, batch.column(at))], pa.bool_()))
+        shared.value.start()
 
     return docs.mapInArrow(run, docs.schema)
