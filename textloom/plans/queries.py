@@ -480,9 +480,9 @@ def ensemble_eval(spark, sf):
     return voted(spark, sf).select("doc_id", "vote_for", "vote_against", "model_votes", "avg_prob", "avg_p_pos", "entropy", "conflict")
 
 
-@query(f"WITH {_VOTES}, z AS (SELECT w.*, text FROM w JOIN documents USING (doc_id)), pool AS (SELECT DISTINCT text FROM z WHERE (f > 0 AND f < 3) OR round_even(m, 6) BETWEEN 0.4 AND 0.6 OR round_even(m, 6) < 0.5) SELECT 'uncertain_or_low_confidence' AS sampling_strategy_tag, least(count(*), 200) AS rows FROM pool")
+@query(f"WITH {_VOTES}, z AS (SELECT w.*, text FROM w JOIN documents USING (doc_id)), pool AS (SELECT DISTINCT text FROM z WHERE (f > 0 AND f < 3) OR round_even(m, 6) BETWEEN 0.4 AND 0.6 OR round_even(m, 6) < 0.5) SELECT 'uncertain_or_low_confidence' AS sampling_strategy_tag, least(count(*), 100) AS rows FROM pool")
 def annotation_sample(spark, sf):
-    return sampling.annotation_sample(voted(spark, sf), 200, 3).groupBy("sampling_strategy_tag").agg(F.count("*").alias("rows"))
+    return sampling.annotation_sample(voted(spark, sf), 100, 3).groupBy("sampling_strategy_tag").agg(F.count("*").alias("rows"))
 
 
 @query("SELECT toxic, quality, CASE WHEN k = 1 THEN 'val' ELSE 'train' END AS split, CASE WHEN k = 1 THEN v ELSE n - v END AS rows FROM (SELECT toxic, quality, count(*) AS n, CAST(round_even(count(*) * 0.1, 0) AS BIGINT) AS v FROM labels GROUP BY ALL), (SELECT unnest([0, 1]) AS k) WHERE CASE WHEN k = 1 THEN v ELSE n - v END > 0")
