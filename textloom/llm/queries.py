@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from textloom.llm import embedding_dedup as vectors
 from textloom.llm import exact_dedup as copies
+from textloom.llm import license_scan as licenses
 from textloom.llm import line_dedup as lines
 from textloom.llm import ngram_join as joins
+from textloom.llm import secret_scan as secrets
 from textloom.llm import source_mix as mixes
 from textloom.llm.embedding_dedup import embedding_dedup
 from textloom.llm.exact_dedup import exact_dedup
@@ -79,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The operators that SQL can express; the others are tested against brute force, a library or held-out accuracy."""
-    return {"op4_exact_dedup": copies.SQL, "op5_source_mix": mixes.sql(), "op6_line_dedup": lines.SQL, "op8_ngram_join": joins.SQL, "op9_embedding_dedup": vectors.SQL}
+    return {"op2_license_scan": licenses.sql(), "op10_secret_scan": secrets.sql(), "op4_exact_dedup": copies.SQL, "op5_source_mix": mixes.sql(), "op6_line_dedup": lines.SQL, "op8_ngram_join": joins.SQL, "op9_embedding_dedup": vectors.SQL}

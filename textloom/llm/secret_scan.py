@@ -129,3 +129,32 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = F.filter(F.filter("c", outside), suspicious)
     rows = rows.select("doc_id", "n_assign", "n_access", "n_hex", "base", _named(more, "entropy", 3).alias("more"))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_entropy"))
+
+
+def sql(thresholds: dict[str, float] | None = None) -> str:
+    """DuckDB SQL of secret_scan(): spans from split gaps, and each window's entropy by itself."""
+    limits = thresholds or THRESHOLDS
+    quoted = lambda pattern: pattern.replace("'", "''")
+
+    def spans(pattern: str) -> str:
+        found, gaps = f"regexp_extract_all(t, '{quoted(pattern)}')", f"string_split_regex(t, '{quoted(pattern)}')"
+        return f"list_transform(range(1, len({found}) + 1), lambda i: {{'m': {found}[i], 'a': CAST(list_sum(list_transform({gaps}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform({found}[1:i - 1], lambda x: length(x))), 0) AS BIGINT)}})"
+
+    kinds = {"assign": spans(ASSIGN), "access": spans(ACCESS), "hex": spans(HEX), "entropy": spans(CANDIDATE)}
+    rows = " UNION ALL ".join(f"SELECT rid, t, {k} AS o, '{name}' AS kind, unnest({body}) AS s FROM d" for k, (name, body) in enumerate(kinds.items()))
+    allowed = " OR ".join(f"regexp_full_match(m, '{quoted(p)}')" for p in ALLOWED)
+    chars = f"string_split(m[i:i + {WINDOW - 1}], '')"
+    best = f"list_max(list_transform(range(1, length(m) - {WINDOW - 2}), lambda i: {math.log2(WINDOW)!r}::DOUBLE - list_sum(list_transform({chars}, lambda c: log2(len(list_filter({chars}, lambda e: e = c))))) / {WINDOW}))"
+    limit = f"CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {limits['hex']} WHEN regexp_full_match(m, '[A-Za-z0-9]+') THEN {limits['alnum']} ELSE {limits['base64']} END"
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+raw AS ({rows}),
+sp AS (SELECT rid, o, kind, s.m AS m, s.a AS a, s.a + length(s.m) AS e FROM raw),
+base AS (SELECT rid, o, kind, m, a, e FROM sp WHERE o IN (1, 2) OR (o = 0 AND length(regexp_extract(m, '{quoted(ASSIGN)}', 2)) >= 6)),
+cand AS (SELECT * FROM sp WHERE o = 3 AND regexp_matches(m, '[A-Za-z]') AND regexp_matches(m, '[0-9]') AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = sp.rid AND b.a <= sp.a AND sp.e <= b.e)),
+more AS (SELECT rid, o, kind, m, a, e FROM cand WHERE {best} >= {limit}),
+b AS (SELECT rid, count(*) FILTER (o = 0) AS n_assign, count(*) FILTER (o = 1) AS n_access, count(*) FILTER (o = 2) AS n_hex, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) AS line FROM base GROUP BY rid),
+m AS (SELECT rid, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, o) AS line, count(*) FILTER (o = 3) AS n_entropy FROM (FROM base UNION ALL FROM more) GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.line, '')) AS base_sha256, coalesce(m.line, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+FROM d LEFT JOIN b USING (rid) LEFT JOIN m USING (rid)
+"""
