@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from textloom.llm.line_dedup import LEAST_PAGES, RATIO, page_line_dedup
 
 SCHEMA = "page_id long, url string, html string, host string, lines string, n int, line int"
@@ -33,7 +35,9 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def test_against_brute_force(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr("textloom.llm.line_dedup.BROADCAST_BYTES", most)
     rng = random.Random(11)
     rows = []
     for i in range(400):

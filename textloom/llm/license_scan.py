@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.session import cut
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The letters of WORD in a lower-cased text, said positively: Java tests such a class several times faster.
@@ -142,6 +144,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     based = based.select("doc_id", "key", "n_words", starts.alias("base"))
     based = based.select("doc_id", "key", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.at").cast("long").alias("first_word"), F.array_max("base.at").cast("long").alias("last_word"), F.array_distinct("base.label").alias("own"))
     found = template_blocks(rows.select("key", "t"), docs.sparkSession, containment=containment).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    found = cut(found)  # so that the join's sides are plain exchanges, of which a hot text can be split
     out = based.join(found, "key", "left")
     none = F.array().cast("array<string>")
     return out.select(

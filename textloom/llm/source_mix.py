@@ -114,7 +114,7 @@ def mix_plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str =
     running = sums.withColumn("until", F.sum("n").over(by_block)).withColumn("before", F.col("until") - F.col("n"))
     last = running.where((F.col("before") <= F.col("rest")) & (F.col("until") > F.col("rest"))).groupBy("source").agg(F.min_by(F.struct("block", "before"), "block").alias("end"))
     whole_blocks = running.where(F.col("until") <= F.col("rest")).groupBy("source").agg(F.max("block").alias("last_whole"))
-    ends = sources.select("source").join(last, "source", "left").join(whole_blocks, "source", "left").select("source", F.col("end.block").alias("end_block"), F.coalesce("end.before", F.lit(0)).alias("end_before"), "last_whole")
+    ends = cut(sources.select("source").join(last, "source", "left").join(whole_blocks, "source", "left").select("source", F.col("end.block").alias("end_block"), F.coalesce("end.before", F.lit(0)).alias("end_before"), "last_whole"))
     near = placed.join(small(ends), "source").where("block = end_block or block = last_whole")
     in_block = Window.partitionBy("source", "block").orderBy("place", "id")
     near = near.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))).withColumn("upto", F.sum("n").over(in_block))
