@@ -20,7 +20,7 @@ from textloom.plans import export as X
 from textloom.plans import stages
 from textloom.sources import readers
 from textloom.streaming import incremental
-from textloom.session import checkpoint_dir, cut, table
+from textloom.session import checkpoint_dir, cut, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,7 +62,7 @@ def query(sql: str | None = None):
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """documents with a topic: doc_id mod 8, 7 being noise."""
-    return table(spark, sf, "documents").withColumn("topic", F.when(F.pmod("doc_id", F.lit(8)) == 7, -1).otherwise(F.pmod("doc_id", F.lit(8))).cast("int"))
+    return spread(table(spark, sf, "documents")).withColumn("topic", F.when(F.pmod("doc_id", F.lit(8)) == 7, -1).otherwise(F.pmod("doc_id", F.lit(8))).cast("int"))
 
 
 def framed(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a scan over all cores if it has fewer partitions than there are (a file of one row group, say); no job runs.
+
+    Such an input is small, so the extra shuffle is; larger scans stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder from spark.checkpoint.dir; where it is unset (tests), a local folder is set once."""
     context = spark.sparkContext
