@@ -24,7 +24,7 @@ from textloom.llm.secret_scan import secret_scan
 from textloom.llm.sentence_pieces import sentencepiece_encode
 from textloom.llm.source_mix import mix_sources
 from textloom.llm.token_counts import token_counts
-from textloom.session import table
+from textloom.session import spread, table
 
 
 def vocabulary(name: str) -> str:
@@ -35,15 +35,15 @@ def vocabulary(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_encode(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return sentencepiece_encode(spread(table(spark, sf_dir, "documents")), vocabulary("piece_bpe_32k.model"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id(table(spark, sf_dir, "documents"))
+    return language_id(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,15 +55,15 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_line_dedup(table(spark, sf_dir, "pages"))
+    return page_line_dedup(spread(table(spark, sf_dir, "pages")))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_counts(spread(table(spark, sf_dir, "documents")), vocabulary("word_bpe_49k.json"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(spread(table(spark, sf_dir, "documents")))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan(table(spark, sf_dir, "documents"))
+    return secret_scan(spread(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
