@@ -30,6 +30,7 @@ FRAME_WORDS = {"cognitive_manipulation": ["tionthe", "keitver"], "moral_accusati
 KEYWORDS = ["ción", "heit", "tionthe", "ement", "zzz absent"]
 CORE = ["the", "que", "und", "les"]
 AXES = ["bias_a0", "bias_a1", "bias_a2"]
+LEAST_DF, LEAST_CO = 5, 3  # documents with a term, and with both terms of a pair, at any size of the table
 
 TOPIC = "CASE WHEN doc_id % 8 = 7 THEN -1 ELSE CAST(doc_id % 8 AS INTEGER) END"
 DOCS = f"d AS (SELECT *, {TOPIC} AS topic FROM documents)"
@@ -78,10 +79,6 @@ def tokenised(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", "lang", "topic", F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿß]+"), F.lit(0)).alias("tokens"))
 
 
-def min_df(spark: SparkSession, sf: str, share: float = 0.05) -> int:
-    return max(2, -(-int(table(spark, sf, "documents").count() * share * 100) // 100))
-
-
 def biased(spark: SparkSession, sf: str) -> DataFrame:
     """doc_id, topic, lang and three axes made from the label centroids of the embeddings."""
     e = table(spark, sf, "embeddings")
@@ -301,12 +298,12 @@ _PAIRS = f"{_SETS}, co AS (SELECT x.term AS a, y.term AS b, count(*) AS co FROM
 
 @query(f"WITH {_PAIRS} SELECT a, b, co, df_a, df_b, n_docs FROM p")
 def cooc_pairs(spark, sf):
-    return C.document_pairs(tokenised(spark, sf), min_df(spark, sf))
+    return C.document_pairs(tokenised(spark, sf), LEAST_DF, min_co=LEAST_CO)
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, co, df_a, df_b, round_even(ln(n_docs * co / CAST(df_a * df_b AS DOUBLE) + 1e-12), 6) AS pmi, round_even((co - df_a * df_b / CAST(n_docs AS DOUBLE)) / sqrt(co), 6) AS tscore, round_even(df_a * df_b / CAST(n_docs AS DOUBLE), 6) AS e FROM p")
 def pmi_tscore(spark, sf):
-    return C.document_scores(C.document_pairs(tokenised(spark, sf), min_df(spark, sf)))
+    return C.document_scores(C.document_pairs(tokenised(spark, sf), LEAST_DF, min_co=LEAST_CO))
 
 
 _CORE = f"{_SETS}, q AS (SELECT x.term AS core, y.term AS term, count(*) AS co FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.term <> y.term WHERE list_contains({CORE!r}, x.term) GROUP BY ALL), r AS (SELECT core, q.term, co, round_even(ln((SELECT n FROM n) * co / CAST(a.df * b.df AS DOUBLE) + 1e-12), 6) AS pmi, round_even((co - a.df * b.df / CAST((SELECT n FROM n) AS DOUBLE)) / sqrt(co), 6) AS tscore FROM q JOIN df a ON a.term = core JOIN df b ON b.term = q.term), z AS (SELECT *, coalesce((pmi - min(pmi) OVER ()) / nullif(max(pmi) OVER () - min(pmi) OVER (), 0), 0) AS pn, coalesce((tscore - min(tscore) OVER ()) / nullif(max(tscore) OVER () - min(tscore) OVER (), 0), 0) AS tn FROM r), y AS (SELECT core, term, co, pmi, tscore, round_even(pn, 6) AS pmi_norm, round_even(tn, 6) AS tscore_norm, round_even(0.5 * pn + 0.5 * tn, 6) AS score FROM z)"
@@ -314,7 +311,7 @@ _CORE = f"{_SETS}, q AS (SELECT x.term AS core, y.term AS term, count(*) AS co F
 
 @query(f"WITH {_CORE} SELECT *, CAST(row_number() OVER (PARTITION BY core ORDER BY score DESC, term) AS INTEGER) AS place FROM y QUALIFY row_number() OVER (PARTITION BY core ORDER BY score DESC, term) <= 10")
 def top_n_per_core(spark, sf):
-    pairs = C.core_pairs(tokenised(spark, sf), CORE, min_df(spark, sf))
+    pairs = C.core_pairs(tokenised(spark, sf), CORE, LEAST_DF, min_co=LEAST_CO)
     scored = C.document_scores(pairs.withColumnsRenamed({"core": "a", "term": "b", "df_core": "df_a", "df_term": "df_b"}))
     return C.top_per_core(C.scaled_scores(scored.selectExpr("a as core", "b as term", "co", "pmi", "tscore")), 10)
 
