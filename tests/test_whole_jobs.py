@@ -27,3 +27,12 @@ def test_pairs_of_rare_terms(spark, tmp_path):
     assert {(r.a, r.b, r.co) for r in registry.QUERIES["pmi_tscore"](spark, sf).collect()} == {w[:3] for w in want}
     core = {r.term for r in registry.QUERIES["top_n_per_core"](spark, sf).collect() if r.core == "the"}
     assert core == {b if a == "the" else a for a, b, *_ in want if "the" in (a, b)}
+
+
+def test_targets_of_whole_texts(spark, tmp_path):
+    texts = ["filler " * 100 + "und then " * 3000 + "the end", "erthe " + "x" * 500 + " the", "a" * 600 + " que"]
+    sf = documents(spark, tmp_path, [(8 * i + 1, t, "en") for i, t in enumerate(texts)])
+    found = {r["target"].lower(): r["count"] for r in registry.QUERIES["who_targets"](spark, sf).collect()}
+    assert "the" not in texts[0][:400] and "que" not in texts[2][:400]
+    assert found == {"und": 1, "the": 1, "erthe": 1, "que": 1}
+    assert registry.QUERIES["how_expressions"](spark, sf).count() >= 0

@@ -58,14 +58,15 @@ def gazetteer_entities(gazetteer: list[tuple[str, str]], text: Column | str, lan
         bounded = [re.compile(rf"\b{re.escape(t)}\b") for t, _ in order]
         out = []
         for text_, lang_ in zip(texts, langs, strict=True):
-            low, taken, found = (text_ or "").lower(), [], []
+            low, found = (text_ or "").lower(), []
+            taken = bytearray(len(low))
             for (term, label), pattern in zip(order, bounded, strict=True):
                 if term not in low:
                     continue
                 spans = [m.span() for m in pattern.finditer(low)] if lang_ == "en" else [m.span() for m in re.finditer(re.escape(term), low)]
                 for s, e in spans:
-                    if all(e <= a or s >= b for a, b in taken):
-                        taken.append((s, e))
+                    if not any(taken[s:e]):
+                        taken[s:e] = b"\1" * (e - s)
                         found.append({"text": text_[s:e].strip(), "label": label, "source": "gazetteer"})
             out.append(found)
         return pd.Series(out)

@@ -581,7 +581,7 @@ RULES = match.Rules({"moral_accusation": ["tion"], "institutional_rot": ["ment"]
 
 
 def _who(spark, sf):
-    return stages.who_entities(docs(spark, sf).withColumn("text", F.substring("text", 1, 400)), GAZETTEER)
+    return stages.who_entities(docs(spark, sf), GAZETTEER).drop("text")
 
 
 @query()
@@ -593,7 +593,7 @@ def who_targets(spark, sf):
 def how_expressions(spark, sf):
     rows = docs(spark, sf)
     vocabulary = cut(stages.topic_vocabulary(stages.who_summary(cut(_who(spark, sf)))))
-    return X.how_summary(cut(stages.how_labels(rows, vocabulary, RULES)))
+    return X.how_summary(cut(stages.how_labels(rows, vocabulary, RULES).drop("text")))
 
 
 @query(f"WITH {DOCS}, n AS (SELECT *, lower({SQUEEZE.format('text')}) AS s FROM d), p AS (SELECT doc_id, split_part(s, ' ', 1) AS pred, s[1:220] AS ctx, lang FROM n) SELECT doc_id, CASE WHEN pred = '' OR (regexp_full_match(pred, '[a-z'']+') AND length(pred) <= 2) OR (length(pred) = 1 AND NOT regexp_matches(pred, '[a-z]')) THEN 'noise' WHEN (contains(pred, 'tion') OR contains(ctx, 'tion') OR contains(pred, 'ment') OR contains(ctx, 'ment')) THEN CASE WHEN contains(pred || ctx, 'tion') OR contains(ctx, 'tion') THEN 'moral_accusation' ELSE 'institutional_rot' END WHEN pred = 'the' OR (len(regexp_extract_all(pred, '[a-z'']+')) > 0 AND len(list_filter(regexp_extract_all(pred, '[a-z'']+'), lambda w: w <> 'the')) = 0) THEN 'noise' ELSE 'other' END AS frame FROM p")
