@@ -36,3 +36,11 @@ def test_targets_of_whole_texts(spark, tmp_path):
     assert "the" not in texts[0][:400] and "que" not in texts[2][:400]
     assert found == {"und": 1, "the": 1, "erthe": 1, "que": 1}
     assert registry.QUERIES["how_expressions"](spark, sf).count() >= 0
+
+
+def test_entities_of_whole_texts(spark, tmp_path):
+    texts = [(8, "a " * 25 + "z " * 30 + "end", "en"), (16, "b  c" + " z" * 40, "en"), (15, "noise topic", "en")]
+    found = registry.QUERIES["entity_frequency"](spark, documents(spark, tmp_path, texts)).collect()
+    want = Counter(w for d, t, _ in texts if d % 8 == 0 for w in t.split(" "))
+    assert {r.target: r["count"] for r in found} == dict(want) and want["z"] == 70
+    assert [r.target for r in sorted(found, key=lambda r: r.place)] == ["z", "a", "end", "b", "", "c"]

@@ -151,7 +151,7 @@ def cluster_quality(spark, sf):
 
 @query(f"WITH {DOCS}, e AS (SELECT topic, lang, doc_id, unnest(list_slice(string_split(text, ' '), 1, 20)) AS target, generate_subscripts(list_slice(string_split(text, ' '), 1, 20), 1) AS pos FROM d WHERE topic <> -1), c AS (SELECT topic, lang, target, count(*) AS count, min((doc_id, pos)) AS f FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY topic, lang ORDER BY count DESC, f, target) AS place FROM c) SELECT topic, lang, target, count, place FROM r WHERE place <= 20")
 def entity_frequency(spark, sf):
-    rows = docs(spark, sf).where("topic <> -1").withColumn("words", F.slice(F.split("text", " "), 1, 20))
+    rows = docs(spark, sf).where("topic <> -1").withColumn("words", F.split("text", " "))
     return A.exploded_counts(rows, ["topic", "lang"], "words", "doc_id", 20).withColumn("place", F.col("place").cast("long"))
 
 
