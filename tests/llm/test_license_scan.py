@@ -41,3 +41,40 @@ def test_against_brute_force(docs_of):
     assert found == sorted([(d, *brute(t)) for d, t in rows], key=str)
     assert sum(bool(r[6]) and not r[5] for r in found) > 20
     assert license_scan(docs_of([])).collect() == []
+
+
+def test_wrapped_notices(docs_of, spark, tmp_path):
+    import textwrap
+
+    from textloom.llm.license_scan import SPAN
+    from textloom.llm.queries import op2_license_scan
+
+    rng = random.Random(3)
+    rows, wanted = [], {}
+    for i, (label, text) in enumerate(TEMPLATES):
+        for k, width in enumerate((1, 24, 48, 76)):
+            lines = ["copyright " * rng.randint(0, 9) + "2020"] * rng.randint(0, 2) + textwrap.wrap("and then " * rng.randint(0, 40) + text, width, break_long_words=False)
+            rows.append((10 * i + k, rng.choice(["\n", "\n * ", "\n\n"]).join(lines).upper() + "\nend"))
+            wanted[10 * i + k] = label
+    rows += [(1000, "redistribution and use in source and binary forms\n" + "word " * SPAN + "\nwith or without modification are permitted provided that the following conditions are met"), (1001, ""), (1002, None)]
+    rows += [(2000 + i, "\n".join(" ".join(w for w in rng.choice(TEMPLATES)[1].split() if rng.random() > 0.3) for _ in range(rng.randint(1, 5)))) for i in range(200)]
+
+    def brute_windows(text):
+        lines = [w for w in map(WORD.findall, (text or "").lower().split("\n")) if w]
+        found = {}
+        for i, own in enumerate(lines):
+            have = set(own + [w for line in lines[i + 1 :] for w in line][:SPAN])
+            for _, label, words in templates_of():
+                shared = len(have & set(words))
+                if shared >= least_overlap(len(words)):
+                    found[label] = max(found.get(label, 0), shared / len(words))
+        return found
+
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in op2_license_scan(spark, str(tmp_path)).collect()}
+    assert all(label in found[d].labels.split(",") for d, label in wanted.items()) and found[1000].labels == ""
+    for d, text in rows:
+        own, base, more = found[d], brute(text), brute_windows(text)
+        assert own.labels == ",".join(sorted({x for x in base[4].split(",") if x} | set(more))) and own.score == (1.0 if base[1] else max(more.values(), default=0.0))
+    plain = {r.doc_id: r.labels for r in license_scan(docs_of(rows)).collect()}
+    assert sum(label not in plain[d].split(",") for d, label in wanted.items()) > 20

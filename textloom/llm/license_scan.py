@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.functions.text import bind
 from textloom.session import cut
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,6 +36,7 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 CONTAINMENT = 0.8
+SPAN = max(len(text.split()) for _, text in TEMPLATES)  # words after its first line that a wrapped block reaches
 
 
 def templates_of(templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
@@ -70,8 +72,11 @@ def word_frequencies(texts: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["word"]: r["n"] for r in words.groupBy("word").agg(F.count("*").alias("n")).collect()}
 
 
-def template_blocks(texts: DataFrame, spark: SparkSession, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """(key, label, overlap share) of every block (line) that holds at least `containment` of a template's distinct words.
+def template_blocks(texts: DataFrame, spark: SparkSession, templates=TEMPLATES, containment: float = CONTAINMENT, wrapped: bool = False) -> DataFrame:
+    """(key, label, overlap share) of every block that holds at least `containment` of a template's distinct words.
+
+    A block is a line or, if `wrapped`, a line and the SPAN words after it, so that a notice as long as the longest
+    template lies whole in one block wherever its lines are broken; lines without words do not count.
 
     texts: key, t (lower-cased). Words get ranks by their frequency in the whole corpus, rarest first. Of a template
     that needs `a` of its n words, a block must hold one of the n - a + 1 rarest (prefix filter), and of the block's
@@ -92,9 +97,17 @@ def template_blocks(texts: DataFrame, spark: SparkSession, templates=TEMPLATES,
     rare = {order[r] for r, *_ in index}
     probe = any_word(sorted(rare))
     places = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
-    lines = texts.where(F.col("t").rlike(probe)).select("key", F.posexplode(F.split("t", "\n")).alias("block", "line")).where(F.col("line").rlike(probe))
-    ranks = F.filter(F.transform(F.array_distinct(F.regexp_extract_all("line", F.lit(LETTER + "+"), F.lit(0))), lambda w: places[w]), lambda r: r.isNotNull())
-    blocks = lines.select("key", "block", F.array_sort(ranks).alias("ranks")).where(F.size("ranks") >= min(need for *_, need in whole))
+    least = min(need for *_, need in whole)
+    if wrapped:
+        numbered = F.transform(F.split("t", "\n"), lambda x: F.transform(F.regexp_extract_all(x, F.lit(LETTER + "+"), F.lit(0)), lambda w: F.coalesce(places[w], F.lit(-1))))
+        prefixed = F.array(*[F.lit(rank[w]) for w in sorted(rare)])
+        fit = lambda r: F.when((F.size(r) >= least) & F.arrays_overlap(r, prefixed), r)
+        windows = F.filter(bind(F.filter(numbered, lambda x: F.size(x) > 0), lambda x: _windows(x, fit)), lambda r: r.isNotNull())
+        blocks = texts.where(F.col("t").rlike(probe)).select("key", F.posexplode(windows).alias("block", "ranks"))
+    else:
+        lines = texts.where(F.col("t").rlike(probe)).select("key", F.posexplode(F.split("t", "\n")).alias("block", "line")).where(F.col("line").rlike(probe))
+        ranks = F.filter(F.transform(F.array_distinct(F.regexp_extract_all("line", F.lit(LETTER + "+"), F.lit(0))), lambda w: places[w]), lambda r: r.isNotNull())
+        blocks = lines.select("key", "block", F.array_sort(ranks).alias("ranks")).where(F.size("ranks") >= least)
     probes = blocks.select("key", "block", "ranks", F.posexplode("ranks").alias("at", "rank"))
     prefix = spark.createDataFrame(index, "rank int, template int, place int, words int, need int")
     met = probes.join(F.broadcast(prefix), "rank")
@@ -105,6 +118,17 @@ def template_blocks(texts: DataFrame, spark: SparkSession, templates=TEMPLATES,
     return pairs.where(shared >= F.col("need")).select("key", "label", (shared / F.size("all")).alias("share"))
 
 
+def _windows(lines: Column, fit) -> Column:
+    """The sorted ranks in each line and the SPAN words after it, from the lines' words as ranks, -1 for others; null
+    at once where fit() is, as a long text has many."""
+
+    def of_heads(heads: Column) -> Column:
+        after = lambda i: F.slice(F.flatten(F.slice(heads, i + 2, SPAN)), 1, SPAN)
+        return F.transform(lines, lambda x, i: bind(F.array_sort(F.array_distinct(F.filter(F.concat(x, after(i)), lambda r: r >= 0))), fit))
+
+    return bind(F.transform(lines, lambda x: F.slice(x, 1, SPAN)), of_heads)
+
+
 def phrase_starts(words: Column, phrase: str) -> Column:
     """Word places at which a phrase's words stand one after the other."""
     parts = phrase.split()
@@ -123,11 +147,11 @@ def _labelled(starts: Column, label: str) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT, wrapped: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. No Python.
 
     n_base counts all places of the phrases, first_word and last_word are their smallest and largest start in words from
-    0 (null without one). labels adds the labels of template_blocks(); blocks are lines. score is 1 with a phrase, else
+    0 (null without one). labels adds the labels of template_blocks(); blocks are lines, or go on over the lines after if `wrapped`. score is 1 with a phrase, else
     the largest containment found, else 0. The blocks found are grouped by their text's digest before they meet the
     documents, so copies of one text cost one lookup row.
 
@@ -143,7 +167,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     starts = F.flatten(F.array(*[_labelled(phrase_starts(F.col("words"), p), label) for p, label in PHRASES.items()]))
     based = based.select("doc_id", "key", "n_words", starts.alias("base"))
     based = based.select("doc_id", "key", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.at").cast("long").alias("first_word"), F.array_max("base.at").cast("long").alias("last_word"), F.array_distinct("base.label").alias("own"))
-    found = template_blocks(rows.select("key", "t"), docs.sparkSession, containment=containment).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
+    found = template_blocks(rows.select("key", "t"), docs.sparkSession, containment=containment, wrapped=wrapped).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     found = cut(found)  # so that the join's sides are plain exchanges, of which a hot text can be split
     out = based.join(found, "key", "left")
     none = F.array().cast("array<string>")

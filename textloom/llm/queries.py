@@ -39,7 +39,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(spread(table(spark, sf_dir, "documents")))
+    return license_scan(spread(table(spark, sf_dir, "documents")), wrapped=True)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
