@@ -56,3 +56,14 @@ def test_ratio_is_exclusive_and_relative_to_the_site(spark):
     rows = [(i, "http://big.com/", "<p>on all</p>" + ("<p>on a fifth</p>" if i < 20 else "")) for i in range(100)] + [(200 + i, "http://small.com/", "<p>on a fifth</p>" if i < 6 else "<p>z</p>") for i in range(7)]
     found = {r.page_id: r.text for r in page_line_dedup(spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], SCHEMA)).collect()}
     assert found[0] == "on a fifth" and found[50] == "" and found[200] == "" and found[206] == "z"
+
+
+def test_query_cleans_small_hosts(spark, tmp_path):
+    from textloom.llm.queries import op6_line_dedup
+
+    rows = [(i, "http://three.com/", f"<p>own {i}</p><p>footer</p>") for i in range(3)] + [(10 + i, "http://ten.com/", f"<p>own {i}</p>" + "<p>menu</p>" * (i < 4) + "<p>fifth</p>" * (i < 2)) for i in range(10)] + [(30, "http://one.com/", "<p>footer</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: r.text for r in op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert found[0] == "own 0" and found[2] == "own 2"
+    assert found[10] == "own 0\nfifth" and found[13] == "own 3"
+    assert found[30] == "footer"

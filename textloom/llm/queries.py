@@ -55,7 +55,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_line_dedup(spread(table(spark, sf_dir, "pages")))
+    return page_line_dedup(spread(table(spark, sf_dir, "pages")), least_pages=2)  # a page alone is no repetition
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
