@@ -1,6 +1,8 @@
 """Queries over small tables of their own against brute force: nothing is left out of the job."""
 
+import difflib
 import itertools
+import random
 from collections import Counter
 
 from textloom.plans import queries as registry
@@ -44,3 +46,21 @@ def test_entities_of_whole_texts(spark, tmp_path):
     want = Counter(w for d, t, _ in texts if d % 8 == 0 for w in t.split(" "))
     assert {r.target: r["count"] for r in found} == dict(want) and want["z"] == 70
     assert [r.target for r in sorted(found, key=lambda r: r.place)] == ["z", "a", "end", "b", "", "c"]
+
+
+def test_near_leaks(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(1000, "", "en"), (1001, "short", "en"), (1010, "short", "en"), (1020, "shorty", "en")]
+    for i in range(40):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(190))
+        step = rng.choice([5, 6, 7, 8, 9])
+        rows += [(10 * i + 1, base, "en"), (10 * i, "".join("#" if k % step == 0 else x for k, x in enumerate(base)), "en")]
+    train = {t for d, t, _ in rows if d % 10}
+    want, best = {}, {}
+    for d, t, _ in rows:
+        if d % 10 == 0:
+            best[d] = max(difflib.SequenceMatcher(None, t, x).ratio() for x in train)
+            want |= {d: "exact"} if t in train else {d: "fuzzy"} if best[d] > 0.85 else {}
+    assert sum(0.85 < x < 0.9 for x in best.values()) > 5 and len(want) < len(best) and want[1010] == "exact"
+    found = registry.QUERIES["all_leaks"](spark, documents(spark, tmp_path, rows))
+    assert sorted(map(tuple, found.collect())) == sorted(want.items())

@@ -196,11 +196,26 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def ratio_above(threshold: float):
+    """A column function: whether difflib's ratio exceeds the threshold; its upper bounds are tried first."""
+
+    @F.pandas_udf("boolean")
+    def above(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            m = difflib.SequenceMatcher(None, x or "", y or "")
+            out.append(m.quick_ratio() > threshold and m.ratio() > threshold)
+        return pd.Series(out, dtype="bool")
+
+    return above
+
+
 def leaks(val: DataFrame, train: DataFrame, val_id: str, train_id: str, text: str = "text", threshold: float = 0.85, blocking: bool = True, exact: bool = True) -> DataFrame:
     """(val_id, kind): validation rows that are in the training rows exactly (`exact`) or nearly (`fuzzy`).
 
-    Candidates share a MinHash bucket of character 4-grams (`blocking`), or are all pairs of like length for small
-    tables; lengths that cannot reach the ratio go first, and the ratio itself is difflib's.
+    Candidates share a MinHash bucket of character 4-grams (`blocking`, which loses pairs whose edits are spread), or
+    are all pairs of texts whose lengths can reach the ratio, which loses none: at 0.85 neither shared letters nor
+    shared grams bound the ratio well enough to block by. The ratio itself is difflib's.
     """
     v, t = val.select(F.col(val_id).alias("_v"), F.col(text).alias("a")), train.select(F.col(train_id).alias("_t"), F.col(text).alias("b"))
     same = v.join(t.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("_v")
@@ -210,8 +225,9 @@ def leaks(val: DataFrame, train: DataFrame, val_id: str, train_id: str, text: st
         pairs = minhash_pairs(rest.select(F.col("_v").alias("id"), F.col("a").alias("x")), t.select(F.col("_t").alias("id"), F.col("b").alias("x")))
         pairs = pairs.select(F.col("left").alias("_v"), F.col("lx").alias("a"), F.col("right").alias("_t"), F.col("rx").alias("b")).where(lengths)
     else:
-        pairs = rest.join(t, lengths)
-    near = pairs.where(sequence_ratio("a", "b") > threshold).select("_v").distinct()
+        pairs = rest.select("a").distinct().join(t.select("b").distinct(), lengths)
+    near = pairs.where(ratio_above(threshold)("a", "b"))
+    near = near.select("_v").distinct() if blocking else rest.join(near.select("a").distinct(), "a", "left_semi").select("_v").distinct()
     out = near.select(F.col("_v").alias(val_id), F.lit("fuzzy").alias("kind"))
     return same.select(F.col("_v").alias(val_id), F.lit("exact").alias("kind")).union(out) if exact else out
 

@@ -509,6 +509,12 @@ def exact_leaks(spark, sf):
     return found.where("kind = 'exact'")
 
 
+@query()
+def all_leaks(spark, sf):
+    rows = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    return V.leaks(rows.where("doc_id % 10 = 0"), rows.where("doc_id % 10 <> 0"), "doc_id", "doc_id", blocking=False)
+
+
 @query("SELECT doc_id, quality, toxic FROM labels WHERE toxic = 1 AND quality = 1")
 def flag_conjunction(spark, sf):
     return J.flags(table(spark, sf, "labels"), ["toxic", "quality"]).select("doc_id", "quality", "toxic")
