@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 
-from textloom.llm.language_id import KneserNey, LanguageModel, _grams, _spelled, language_filter, language_id
+from textloom.llm.language_id import KneserNey, LanguageModel, _grams, _spelled, language_filter, language_id, words_of
 
 SYLLABLES = {"aa": "ba ke lo mi nu".split(), "bb": "tra sche ung keit zu".split(), "cc": "cion mente ado ñar el".split()}
 
@@ -96,3 +96,82 @@ def test_labels_sources_and_ids_are_no_inputs(docs_of):
     a = {r.doc_id: (r.lang_pred, r.score) for r in language_id(docs_of(rows)).collect()}
     b = {r.doc_id: (r.lang_pred, r.score) for r in language_id(docs_of(changed)).collect()}
     assert a == b
+
+
+class Plain:
+    """Interpolated Kneser-Ney with plain dictionaries: lower orders count predecessors, but for the starts of words."""
+
+    def __init__(self, words, symbols, order=5):
+        self.order, self.symbols = order, symbols
+        raw = [{} for _ in range(order + 1)]
+        for w in words:
+            s = "<" + w + ">"
+            for end in range(1, len(s)):
+                for n in range(1, min(order, end + 1) + 1):
+                    gram = s[end + 1 - n : end + 1]
+                    raw[n][gram] = raw[n].get(gram, 0) + 1
+        self.counts = [{} for _ in range(order + 1)]
+        for n in range(1, order + 1):
+            before = {}
+            for gram in raw[n + 1] if n < order else ():
+                before[gram[1:]] = before.get(gram[1:], 0) + 1
+            for gram, k in raw[n].items():
+                own = n == order or (n > 1 and gram[0] == "<")
+                self.counts[n][gram] = k if own else max(before.get(gram, 0), 1) if n == 1 else before.get(gram, 0)
+        self.discount, self.totals = [0.0] * (order + 1), [{} for _ in range(order + 1)]
+        for n in range(1, order + 1):
+            once, twice = (sum(k == x for k in self.counts[n].values()) for x in (1, 2))
+            self.discount[n] = min(max(once / (once + 2 * twice) if once else 0.5, 0.05), 0.95)
+            for gram, k in self.counts[n].items():
+                total, kinds = self.totals[n].get(gram[:-1], (0, 0))
+                self.totals[n][gram[:-1]] = total + k, kinds + 1
+
+    def p(self, context, letter):
+        """P(letter | context): the context's own estimate, and what it leaves to the shorter one."""
+        n = len(context) + 1
+        below = self.p(context[1:], letter) if n > 1 else 1 / (self.symbols + 1)
+        if context not in self.totals[n]:
+            return below
+        total, kinds = self.totals[n][context]
+        return max(self.counts[n].get(context + letter, 0) - self.discount[n], 0) / total + self.discount[n] * kinds / total * below
+
+    def score(self, word):
+        s = "<" + word + ">"
+        return sum(math.log(self.p(s[max(0, i - self.order + 1) : i], s[i])) for i in range(1, len(s)))
+
+
+def test_equals_plain_dictionaries():
+    rng = random.Random(3)
+    samples = {lang: [prose(rng, lang, 60) for _ in range(20)] for lang in SYLLABLES}
+    model = LanguageModel(samples)
+    fit = {k: [w for i, t in enumerate(v) if i % 5 for w in words_of(t)] for k, v in samples.items()}
+    symbols = len({c for v in fit.values() for w in v for c in w}) + 1
+    plain = {k: Plain(v, symbols) for k, v in fit.items()}
+    words = [*fit["aa"][:40], *fit["bb"][:40], *fit["cc"][:40], "x", "q", "qqqqqqq", "ünïcödé", "bakelo" * 20, "e"]
+    found = model.score(words)
+    for i, lang in enumerate(model.languages):
+        assert np.allclose(found[:, i], [plain[lang].score(w) for w in words], rtol=2e-4, atol=2e-4)
+
+
+def test_letters_are_letters_only(docs_of):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, "aabbcc"[i % 3 * 2 : i % 3 * 2 + 2], 30), "aabbcc"[i % 3 * 2 : i % 3 * 2 + 2]) for i in range(60)]
+    signs = [(500 + i, t) for i, t in enumerate(["²", "½", "①", "Ⅷ", "٣", "_", "²½ 12 _", "⅓ Ⅻ", "😀", "\u0301"])]
+    letters = [(600 + i, t) for i, t in enumerate(["a²", "ª", "ʰ", "一", "ǅ"])]
+    found = {r.doc_id: r for r in language_id(docs_of(rows + signs + letters)).collect()}
+    assert all((found[d].lang_pred, found[d].score, found[d].n_letters, found[d].rejected) == ("und", 0.0, 0, True) for d, _ in signs)
+    assert all(found[d].lang_pred != "und" and found[d].n_letters == 1 for d, _ in letters)
+    kept = {r.doc_id for r in language_filter(docs_of(signs + letters)).collect()}  # no label, so no model
+    assert kept == {d for d, _ in letters}
+
+
+def test_false_and_true_rejections():
+    rng = random.Random(7)
+    samples = {lang: [prose(rng, lang, rng.randint(20, 200)) for _ in range(100)] for lang in SYLLABLES}
+    model = LanguageModel(samples)
+    own = model.predict([prose(rng, lang, rng.randint(1, 300)) for lang in SYLLABLES for _ in range(400)])
+    assert sum(p[4] for p in own) <= 6
+    mixed = model.predict([prose(rng, "aa", 64) + " " + prose(rng, "bb", 64) for _ in range(50)])
+    assert not any(p[4] for p in mixed)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(40, 400))) for _ in range(200)] + ["щука жила " * n for n in (3, 30)] + [rng.randbytes(n).hex() for n in (20, 200)]
+    assert all(p[4] for p in model.predict(junk))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,17 +12,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.ragged import WORD_LIMIT, mix, portions
+from textloom.llm.ragged import WORD_LIMIT, mix, portions, released
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
-WORD = re.compile(r"[^\W\d_]+")
+# What \w takes beside letters (Unicode's categories L) and decimal digits: signs such as ² ½ Ⅷ.
+_NUMBERS = re.compile("[" + "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]")
+_WORD = re.compile(r"[^\W\d_]+")
 ORDER = 5
 DOCS_PER_LANGUAGE = 400
 MAX_CHARS = 20_000
+SURE = 20  # letters over which the score weighs the languages
+WINDOW = 32  # words of a text that are judged together
+FALSE_REJECTIONS = 0.001  # share of unseen stretches of the learnt languages that may be rejected
+LEAST_LIMIT = 4.0  # deviations below which nothing is rejected, however few stretches there are to calibrate with
 _START, _END = "\x02", "\x03"
 _P = np.uint64(0x100000001B3)
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters."""
+    words = _WORD.findall(text)
+    return words if text.isascii() or "".join(words).isalpha() else _WORD.findall(_NUMBERS.sub(" ", text))
+
+
 def _spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Code points of all words with their ends, the place of each within its word, and the word of each."""
     text = "".join([_START + w + _END for w in words])
@@ -104,12 +117,16 @@ class KneserNey:
 class LanguageModel:
     """The models of all languages with their calibration; `rows` caches what words score."""
 
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER, slack: float = 8.0):
-        """samples: lower-cased texts of each language; of each language every fifth is kept for calibration."""
+    def __init__(self, samples: dict[str, list[str]], order: int = ORDER, false_rejections: float = FALSE_REJECTIONS):
+        """samples: lower-cased texts of each language; of each language every fifth is kept for calibration.
+
+        The kept texts are cut into stretches of 1, 4, 16, 64 and all of their windows. `limit` is the deviation that
+        only the share `false_rejections` of these stretches exceeds.
+        """
         self.languages = sorted(samples)
         self.order = order
         fit = {k: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for k, v in samples.items()}
-        words = {k: [w for t in v for w in WORD.findall(t)] for k, v in fit.items()}
+        words = {k: [w for t in v for w in words_of(t)] for k, v in fit.items()}
         symbols = len({c for v in words.values() for w in v for c in w}) + 1
         models = [KneserNey(words[k], symbols, order) for k in self.languages]
         self.floor = -math.log(symbols + 1)
@@ -117,21 +134,42 @@ class LanguageModel:
         self.contexts = [_together([m.contexts[n] for m in models]) for n in range(order)]
         self.start()
         self.mean, self.spread = np.zeros(len(self.languages)), np.ones(len(self.languages))
-        own = {}
+        stretches: list[tuple[int, np.ndarray, np.ndarray]] = []
         for i, k in enumerate(self.languages):
-            kept = [t for j, t in enumerate(samples[k]) if j % 5 == 0 and WORD.search(t)] or [t for t in samples[k] if WORD.search(t)]
-            found = [self.entropies(t) for t in kept]
-            own[i] = np.array([(e[i], n) for e, n in found if n >= 50] or [(e[i], n) for e, n in found])
-            self.mean[i], self.spread[i] = own[i][:, 0].mean(), max(own[i][:, 0].std(), 0.02)
-        self.limit = max([slack, *(1.5 * self.deviation(i, e, n) for i, rows in own.items() for e, n in rows)])
+            kept = [t for j, t in enumerate(samples[k]) if j % 5 == 0 and words_of(t)] or [t for t in samples[k] if words_of(t)]
+            costs, sizes = [], []
+            for t in kept:
+                own = words_of(t)
+                self.learn_words(own)
+                cost, size, _ = self.windows(own)
+                for n in (1, 4, 16, 64, len(size)):
+                    at = np.arange(0, len(size), n)
+                    costs.append(np.add.reduceat(cost, at))
+                    sizes.append(np.add.reduceat(size, at))
+            cost, size = np.concatenate(costs), np.concatenate(sizes)
+            each = cost / size
+            long = size >= 100 if (size >= 100).sum() >= 5 else size > 0
+            self.mean[i], self.spread[i] = np.average(each[long], weights=size[long]), max(each[long].std(), 0.02)
+            stretches.append((i, each, size))
+        self.limit = max(LEAST_LIMIT, float(np.quantile(np.concatenate([self.deviation(i, each, size) for i, each, size in stretches]), 1 - false_rejections, method="higher")))
 
     def start(self) -> None:
         self.index: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.languages)))
 
-    def deviation(self, language: int, entropy: float, letters: int) -> float:
+    def deviation(self, language: int, entropy, letters):
         """How far a cross-entropy lies above what its language has; short texts scatter more."""
-        return (entropy - self.mean[language]) / math.sqrt(self.spread[language] ** 2 + 6.0 / letters)
+        return (entropy - self.mean[language]) / np.sqrt(self.spread[language] ** 2 + 6.0 / letters)
+
+    def windows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every WINDOW learnt words: the cost (nats) in the language that suits them best, their letters with word ends, and the cost in each language.
+
+        A text of several known languages so costs what its parts cost, and isn't taken for one of none.
+        """
+        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        at = np.arange(0, len(words), WINDOW)
+        each = -np.add.reduceat(self.table[rows], at, axis=0)
+        return each.min(axis=1), np.add.reduceat(np.fromiter(map(len, words), np.int64, len(words)) + 1, at), each
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log probability of each word, its end included, in each language: the longest gram that a language knows, times the back-off weights above it."""
@@ -147,11 +185,6 @@ class LanguageModel:
         logp[place == 0] = 0
         return np.add.reduceat(logp.astype(np.float64), np.flatnonzero(place == 0), axis=0)
 
-    def rejects(self, language: int, entropy: float, letters: int) -> bool:
-        """Above the calibrated limit, and nearer to a uniform guess of letters than to its language; text of two known languages is neither."""
-        half = 0.5 * (-self.floor - self.mean[language])
-        return bool(self.deviation(language, entropy, letters) > self.limit and entropy - self.mean[language] > half)
-
     def learn_words(self, words: list[str]) -> None:
         """Scores the words that the cache lacks, all at once."""
         index = self.index
@@ -166,33 +199,24 @@ class LanguageModel:
             self.table[base + i : base + i + len(part)] = self.score(part)
         index.update(zip(new, range(base, end), strict=True))
 
-    def entropies(self, text: str) -> tuple[np.ndarray, int]:
-        """Cross-entropy (nats a letter, word ends counted) of each language, and the letters; the text is lower-cased and has a letter."""
-        words = WORD.findall(text)
-        self.learn_words(words)
-        return self.of_words(words)
-
-    def of_words(self, words: list[str]) -> tuple[np.ndarray, int]:
-        """entropies() of words that are learnt."""
-        letters = sum(map(len, words))
-        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        return -self.table[rows].sum(axis=0) / (letters + len(words)), letters
-
     def predict(self, texts: list[str]) -> list[tuple]:
         """(language, score, cross-entropy, letters, rejected) of each text."""
         if len(self.index) > WORD_LIMIT:
             self.start()
-        found = [WORD.findall(t.lower()) for t in texts]
+        found = [words_of(t.lower()) for t in texts]
         self.learn_words([w for words in found for w in words])
         out = []
         for words in found:
             if not words:
                 out.append(("und", 0.0, None, 0, True))
                 continue
-            entropy, letters = self.of_words(words)
+            cost, size, each = self.windows(words)
+            letters = int(size.sum())
+            entropy = each.sum(axis=0) / letters
             best = int(np.argmin(entropy))
-            weight = np.exp((entropy[best] - entropy) * min(letters, 20))
-            out.append((self.languages[best], float(1 / weight.sum()), float(entropy[best]), letters, self.rejects(best, entropy[best], letters)))
+            weight = np.exp((entropy[best] - entropy) * min(letters, SURE))
+            rejected = bool(self.deviation(best, cost.sum() / letters, letters) > self.limit)
+            out.append((self.languages[best], float(1 / weight.sum()), float(entropy[best]), letters - len(words), rejected))
         return out
 
 
@@ -217,7 +241,7 @@ def train(docs: DataFrame, learnable, docs_per_language: int = DOCS_PER_LANGUAGE
     picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(buckets)) < share[F.col("lang")])
     samples: dict[str, list[str]] = {}
     for r in sorted(picked.select("doc_id", "lang", "text").collect(), key=lambda r: (r["doc_id"], r["text"])):
-        if WORD.search(r["text"].lower()):
+        if words_of(r["text"].lower()):
             samples.setdefault(r["lang"], []).append(r["text"].lower())
     return LanguageModel(samples, order) if samples else None
 
@@ -226,9 +250,11 @@ def language_id(docs: DataFrame, model: LanguageModel | None = None, id_col: str
     """One row per input row: doc_id, held_out, lang_pred, score, cross_entropy, n_letters, rejected. No shuffle.
 
     Without a model, one is trained on the rows whose crc32(doc_id) mod 5 is not 0. The language with the lowest
-    cross-entropy per letter wins; score is its weight among all languages over a stretch of up to 20 letters. A row is
-    rejected if it has no letter, or if its cross-entropy lies further above its language's mean than `limit`
-    deviations (set from documents that the models have not seen) and nearer to a uniform guess of letters.
+    cross-entropy per letter over the whole text wins. score is its weight among all languages over a stretch of SURE
+    letters with that cross-entropy: letters aren't independent, and over a whole text the weight would be 1 for nearly
+    all. A row is rejected if it has no letter, or if its cost per letter, each WINDOW words in the language that suits
+    them best, lies further above the language's mean than a limit that FALSE_REJECTIONS of the stretches of documents
+    that the models have not seen exceed.
 
     Cases: null text, or text without a letter: `und`, score 0, rejected; ties go to the first language by name; no
     labelled row to learn from: all rows `und`; null id: not held out and never learnt from; repeated rows are
@@ -242,6 +268,7 @@ def language_id(docs: DataFrame, model: LanguageModel | None = None, id_col: str
         return rows.select("doc_id", held, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("cross_entropy"), F.lit(0).cast("long").alias("n_letters"), F.lit(True).alias("rejected"))
     model.start()
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    clear = lambda: shared.value.start()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,13 +278,17 @@ def language_id(docs: DataFrame, model: LanguageModel | None = None, id_col: str
                 [batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(letters, pa.int64()), pa.array(rejected, pa.bool_())],
                 ["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "n_letters", "rejected"],
             )
-        shared.value.start()  # the worker may live on for other stages
 
-    return rows.select("doc_id", held, "text").mapInArrow(run, SCHEMA)
+    return rows.select("doc_id", held, "text").mapInArrow(released(run, clear), SCHEMA)
 
 
 def language_filter(docs: DataFrame, model: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows that language_id() doesn't reject, with all their columns. No shuffle; without a labelled row, none is rejected but those without a letter."""
+    """The rows that language_id() doesn't reject, with all their columns. No shuffle; Python gets the texts only.
+
+    Cases: null text, or text without a letter, goes; without a labelled row to learn from, nothing else does; rows
+    with a null id or language are judged as all others; repeated rows stay or go together; an empty table gives no
+    rows; columns may have any name.
+    """
     if model is None:
         fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
         model = train(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")), fold != 0)
@@ -265,11 +296,11 @@ def language_filter(docs: DataFrame, model: LanguageModel | None = None, id_col:
         return docs.where(F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
     model.start()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    clear = lambda: shared.value.start()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not p[4] for p in predict_all(shared.value, batch.column(at))], pa.bool_()))
-        shared.value.start()
+    @F.arrow_udf("boolean")
+    def accepted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        run = released(lambda some: (pa.array([not p[4] for p in predict_all(shared.value, batch)], pa.bool_()) for batch in some), clear)
+        yield from run(texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(accepted(F.col(text_col)))
