@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -10,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from textloom.session import local_session
 
-    session = local_session(8, memory="4g", app="tests")
+    session = local_session(os.environ.get("TEST_CPUS", "8"), memory="4g", app="tests")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -12,6 +12,10 @@ HAN = r"\x{4e00}-\x{9fff}"
 KANA = r"\x{3040}-\x{30ff}"
 WIDE_DIGITS = r"\x{ff10}-\x{ff19}"
 BLANK = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
+# Verbal endings that a fingerprint drops, and the words of yes and no labels. Fixed values.
+JA_ENDING = "(る|た|ない|ます|じ|て|の)$"
+YES = ("是", "yes", "y", "true", "1", "1.0")
+NO = ("否", "no", "n", "false", "0", "0.0")
 EDGE = r"[\s.,;:!?、。，；：！？「」『』（）()\[\]【】…]+"
 
 
@@ -82,7 +86,7 @@ def guess_language(text: Column | str) -> Column:
 def label_strict(value: Column | str) -> Column:
     """1, 0 or null for labels such as yes/no, true/false, 1/0 and their Chinese forms."""
     low = F.lower(F.trim(c(value).cast("string")))
-    return F.when(low.isin("是", "yes", "y", "true", "1", "1.0"), 1).when(low.isin("否", "no", "n", "false", "0", "0.0"), 0)
+    return F.when(low.isin(*YES), 1).when(low.isin(*NO), 0)
 
 
 def label_lenient(value: Column | str) -> Column:
@@ -94,7 +98,7 @@ def label_lenient(value: Column | str) -> Column:
 def fingerprint(word: Column | str, lang: Column | str) -> Column:
     """Lower case without blanks, signs and underscores; Japanese words of over two characters lose a verbal ending."""
     out = F.regexp_replace(F.lower(F.coalesce(c(word), F.lit(""))), r"(?U)[\s\W_]+", "")
-    bare = F.regexp_replace(out, "(る|た|ない|ます|じ|て|の)$", "")
+    bare = F.regexp_replace(out, JA_ENDING, "")
     return F.when((language_code(lang) == "ja") & (F.char_length(out) > 2), bare).otherwise(out)
 
 
@@ -168,6 +172,16 @@ def tokens(text: Column | str, lang: Column | str) -> Column:
     return F.when(code == "zh", zh).when(code == "ja", ja).otherwise(F.regexp_extract_all(F.lower(t), F.lit("[a-zA-Z']+"), F.lit(0)))
 
 
+def dictionary_tokens(text: Column | str, words: list[str], lang: str | None = None) -> Column:
+    """Tokens by a word list, for scripts without blanks: from the left the longest word of the list that fits, else one letter or digit of its own.
+
+    For zh and ja, letters of ASCII stay together; other signs go. Null is no token.
+    """
+    listed = [re.escape(w) for w in sorted(set(words), key=lambda w: (-len(w), w)) if w]
+    alone = {"zh": rf"[{HAN}]|[a-zA-Z]+", "ja": rf"[{KANA}{HAN}]|[a-zA-Z]+"}.get(lang or "", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]")
+    return F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit("|".join([*listed, alone])), F.lit(0))
+
+
 def without(words: Column | str, stop: list[str], digits: bool = True) -> Column:
     """Drops stop words and (by default) numbers, and keeps repeats."""
     banned = F.array(*[F.lit(s) for s in stop]).cast("array<string>")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -30,7 +31,7 @@ OTHER, NOISE = "other", "noise"
 
 # Verb and sentence forms that no entity has. Fixed values.
 JA_VERB = "して|した|している|しまくり|なって|グルに|になった|してる|やってる|ぐずぐず|ズブズブ"
-JA_SENTENCE = "^.*.{5,}[がはをにでもとへよりから].{3,}[るたいすくけれてじゃ]$"
+JA_SENTENCE = ".{5,}[がはをにでもとへよりから].{3,}[るたいすくけれてじゃ]$"
 ZH_VERB = "[不没被让把给就也都还只]?.{0,2}[住来去起下上过着了把被让]"
 
 
@@ -48,32 +49,62 @@ def gazetteer_entities(gazetteer: list[tuple[str, str]], text: Column | str, lan
     """Entities of a dictionary: the longest terms first over the whole text, no overlaps, in a text's own spelling.
 
     English terms match whole words, others anywhere. A term of two categories has the first one. No built-in matches
-    globally longest-first (a regular expression takes the leftmost), so this runs on Arrow batches; the terms are
-    compiled once per task.
+    globally longest-first (a regular expression takes the leftmost), so this runs on Arrow batches. One pass of an
+    automaton, built once per task, finds all places of all terms.
     """
     order = sorted(((t.lower(), k) for t, k in gazetteer if t), key=lambda x: -len(x[0]))
 
     @F.pandas_udf(ENTITY)
-    def match(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        bounded = [re.compile(rf"\b{re.escape(t)}\b") for t, _ in order]
-        out = []
-        for text_, lang_ in zip(texts, langs, strict=True):
-            low, found = (text_ or "").lower(), []
-            taken = bytearray(len(low))
-            for (term, label), pattern in zip(order, bounded, strict=True):
-                if term not in low:
-                    continue
-                spans = [m.span() for m in pattern.finditer(low)] if lang_ == "en" else [m.span() for m in re.finditer(re.escape(term), low)]
-                for s, e in spans:
-                    if not any(taken[s:e]):
-                        taken[s:e] = b"\1" * (e - s)
-                        found.append({"text": text_[s:e].strip(), "label": label, "source": "gazetteer"})
-            out.append(found)
-        return pd.Series(out)
+    def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        find = _finder(order)
+        for texts, langs in batches:
+            yield pd.Series([find(t or "", g == "en") for t, g in zip(texts, langs, strict=True)])
 
     return match(c(text), language_code(lang))
 
 
+def _finder(order: list[tuple[str, str]]) -> Callable[[str, bool], list[dict]]:
+    """find(text, whole words only) over terms in order of precedence."""
+    import ahocorasick
+
+    terms: dict[str, tuple[int, str]] = {}
+    for i, (term, label) in enumerate(order):
+        terms.setdefault(term, (i, label))
+    automaton = ahocorasick.Automaton()
+    for term, (i, label) in terms.items():
+        automaton.add_word(term, (i, term, label))
+    if terms:
+        automaton.make_automaton()
+    inside = re.compile(r"\w")
+
+    def bounded(low: str, s: int, e: int) -> bool:
+        """\\b at both ends."""
+        sides = [(low[s - 1 : s], low[s]), (low[e - 1], low[e : e + 1])]
+        return all(bool(inside.match(a)) != bool(inside.match(b)) for a, b in sides)
+
+    def find(text: str, words: bool) -> list[dict]:
+        low = text.lower()
+        places: dict[int, tuple[str, str, list[int]]] = {}
+        for end, (i, term, label) in automaton.iter(low) if terms else ():
+            start = end + 1 - len(term)
+            if not words or bounded(low, start, end + 1):
+                places.setdefault(i, (term, label, []))[2].append(start)
+        taken, found = bytearray(len(low)), []
+        for i in sorted(places):
+            term, label, starts = places[i]
+            n, free = len(term), 0
+            for s in starts:
+                if s < free:  # a term's own places don't overlap, whether they count or not
+                    continue
+                free = s + n
+                if not any(taken[s : s + n]):
+                    taken[s : s + n] = b"\1" * n
+                    found.append({"text": text[s : s + n].strip(), "label": label, "source": "gazetteer"})
+        return found
+
+    return find
+
+
 def capitalised_entities(text: Column | str, lang: Column | str) -> Column:
     """Offline stand-in for a name recogniser: runs of capitalised words of English texts' first 1,000 characters, 2 to 30 long."""
     found = F.regexp_extract_all(F.substring(F.coalesce(c(text), F.lit("")), 1, 1000), F.lit(r"(?<![\p{L}\d])\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)*"), F.lit(0))

@@ -1,4 +1,4 @@
-"""Seeded samples, splits and folds. The order of a sample is a hash of seed and id: the same rows for any partitioning."""
+"""Seeded samples, splits and folds. The order of a sample is a digest of seed and id: the same rows for any partitioning."""
 
 from __future__ import annotations
 
@@ -6,9 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.operators.tables import small
+
+BUCKETS = 1 << 16  # stretches of the order, by the first four hexadecimal digits of a draw
+
 
 def draw(id_col: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(id_col))
+    """A row's place in the order of a seed."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+
+
+def bucket(draws: Column | str) -> Column:
+    return F.conv(F.substring(draws, 1, 4), 16, 10).cast("int")
 
 
 def sample_k(df: DataFrame, k: int, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
@@ -23,21 +32,24 @@ def sample_per_group(df: DataFrame, group: str, k: int, seed: int = 42, id_col:
 
 
 def split(df: DataFrame, strata: list[str], share: float = 0.1, seed: int = 42, id_col: str = "doc_id", out: str = "split") -> DataFrame:
-    """`val` for round(share * rows) rows of each stratum, else `train`.
+    """`val` for round(share * rows) rows of each stratum, the first in the seed's order, else `train`.
 
-    A row's place within its stratum comes from 1,024 buckets of its draw: the counts of the buckets are summed up, and
-    only the bucket where the share ends is ranked, so no task sorts a stratum. A stratum of one row stays in training.
+    The order is cut into BUCKETS whose counts are summed up; whole buckets go to one side, and only the rows of the
+    bucket in which a stratum's share ends are ranked, so no task sorts a stratum. A stratum of one row stays in training.
     """
-    rows = df.withColumn("_draw", draw(id_col, seed)).withColumn("_bucket", F.pmod(F.shiftright("_draw", 20), F.lit(1024)))
+    rows = df.withColumn("_draw", draw(id_col, seed)).withColumn("_bucket", bucket("_draw"))
     counts = rows.groupBy(*strata, "_bucket").agg(F.count("*").alias("_n"))
     by = Window.partitionBy(*strata)
     upto = F.sum("_n").over(by.orderBy("_bucket"))
     plan = counts.withColumn("_upto", upto).withColumn("_want", F.bround(F.sum("_n").over(by) * F.lit(share)).cast("long"))
-    plan = plan.withColumn("_left", F.col("_want") - (F.col("_upto") - F.col("_n"))).select(*strata, "_bucket", "_left")
-    met = rows.alias("r").join(plan.alias("p"), [F.col(f"r.{x}").eqNullSafe(F.col(f"p.{x}")) for x in [*strata, "_bucket"]])
-    met = met.select("r.*", "p._left")
-    place = F.row_number().over(Window.partitionBy(*strata, "_bucket").orderBy("_draw", id_col))
-    return met.withColumn(out, F.when(place <= F.col("_left"), "val").otherwise("train")).select(*df.columns, out)
+    ends = plan.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")))
+    ends = ends.select(*strata, F.col("_bucket").alias("_end"), (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_left"))
+    met = rows.alias("r").join(small(ends).alias("p"), [F.col(f"r.{x}").eqNullSafe(F.col(f"p.{x}")) for x in strata], "left")
+    met = met.select("r.*", "p._end", "p._left")
+    sure = met.where("_end is null or _bucket <> _end").withColumn(out, F.when(F.col("_bucket") < F.col("_end"), "val").otherwise("train"))
+    place = F.row_number().over(Window.partitionBy(*strata).orderBy("_draw", id_col))
+    edge = met.where("_bucket = _end").withColumn(out, F.when(place <= F.col("_left"), "val").otherwise("train"))
+    return sure.union(edge).select(*df.columns, out)
 
 
 def group_split(df: DataFrame, labels: list[str], group: str = "group_id", share: float = 0.1, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
@@ -56,12 +68,26 @@ def folds(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = "doc_id", out
 
 
 def exact_folds(df: DataFrame, k: int = 5, seed: int = 42, id_col: str = "doc_id", out: str = "fold") -> DataFrame:
-    """Folds whose sizes differ by one row at most: rows are ranked within 1,024 buckets, which rotate by the rows before them."""
-    rows = df.withColumn("_draw", draw(id_col, seed)).withColumn("_bucket", F.pmod(F.shiftright("_draw", 20), F.lit(1024)))
-    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")) - F.col("_n")).select("_bucket", "_before")
+    """Folds whose sizes differ by one row at most: equal stretches of the seed's order, the first ones a row longer.
+
+    Buckets that lie in one fold go there whole; only those of the k - 1 places where a fold ends are ranked.
+    """
+    rows = df.withColumn("_draw", draw(id_col, seed)).withColumn("_bucket", bucket("_draw"))
+    n = df.count()
+    size, longer = divmod(n, k)
+
+    def fold(place: Column) -> Column:
+        short = (place - longer * (size + 1)) / F.lit(float(max(size, 1))) + longer
+        return F.floor(F.when(place < longer * (size + 1), place / F.lit(float(size + 1))).otherwise(short)).cast("int")
+
+    counts = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))  # at most BUCKETS rows
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket")) - F.col("_n")
+    plan = counts.withColumn("_before", before).select("_bucket", "_before", fold(F.col("_before")).alias("_first"), fold(F.col("_before") + F.col("_n") - 1).alias("_last"))
+    met = rows.join(F.broadcast(plan), "_bucket")
+    sure = met.where("_first = _last").withColumn(out, F.col("_first"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", id_col))
-    return rows.join(F.broadcast(before), "_bucket").withColumn(out, F.pmod(F.col("_before") + place - 1, F.lit(k)).cast("int")).select(*df.columns, out)
+    edge = met.where("_first <> _last").withColumn(out, fold(F.col("_before") + place - 1))
+    return sure.union(edge).select(*df.columns, out)
 
 
 def annotation_sample(evaluated: DataFrame, n: int = 4000, models: int | None = None, keywords: list[str] | None = None, seed: int = 42, id_col: str = "doc_id", text: str = "text") -> DataFrame:

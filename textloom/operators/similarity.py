@@ -17,8 +17,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions.vectors import cosine, dot, mean_vector, minus, norm, squared_distance, sum_vector, unit
 from textloom.operators.aggregates import r6
-
-MATRIX_BYTES = 64 << 20  # of a side that is sent to every task
+from textloom.operators.tables import small
 
 
 def dim_of(df: DataFrame, vector: str) -> int:
@@ -51,7 +50,7 @@ def top_k_cosine(seeds: DataFrame, pool: DataFrame, k: int, seed_id: str, pool_i
                 rows = batch[batch["v"].notna()]
                 if not len(rows):
                     continue
-                cos = _units(np.stack(rows["v"].to_numpy())) @ q.T
+                cos = np.round(_units(np.stack(rows["v"].to_numpy())) @ q.T, 6)  # ranked as it is returned, so that ties are ties in every task
                 own = rows["pool"].to_numpy()
                 order = np.lexsort((np.broadcast_to(own[:, None], cos.shape), -cos), axis=0)[:k] if len(own) else []
                 found = pd.DataFrame({"seed": np.tile(ids, len(order)), "pool": own[order].reshape(-1), "cosine": np.take_along_axis(cos, order, 0).reshape(-1)})
@@ -64,9 +63,8 @@ def top_k_cosine(seeds: DataFrame, pool: DataFrame, k: int, seed_id: str, pool_i
         out = found if out is None else out.union(found)
     if out is None:
         out = seeds.sparkSession.createDataFrame([], "seed long, pool long, cosine double")
-    rounded = out.withColumn("cosine", r6(F.col("cosine")))
     place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("cosine"), "pool"))
-    return rounded.withColumn("place", place).where(F.col("place") <= k)
+    return out.withColumn("place", place).where(F.col("place") <= k)
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -182,7 +180,7 @@ def kmeans(df: DataFrame, k: int, vector: str, seed: int = 42, out: str = "clust
 def drop_outliers(clustered: DataFrame, percentile: float = 0.95, cluster: str = "cluster") -> DataFrame:
     """Rows within the percentile of their cluster's distances."""
     limits = clustered.groupBy(cluster).agg(F.percentile("distance", F.lit(percentile)).alias("_limit"))
-    return clustered.join(F.broadcast(limits), cluster).where("distance <= _limit").drop("_limit")
+    return clustered.join(small(limits), cluster).where("distance <= _limit").drop("_limit")
 
 
 def closest_to_centre(clustered: DataFrame, n: int, id_col: str, cluster: str = "cluster") -> DataFrame:
@@ -267,7 +265,7 @@ def bisecting_topics(df: DataFrame, k: int, vector: str, components: int = 8, le
         rows = rows.withColumn("_p", F.col("_f"))
     placed = BisectingKMeans(k=k, seed=seed, featuresCol="_p", predictionCol=out).fit(rows).transform(rows).drop("_f", "_p")
     sizes = placed.groupBy(out).agg(F.count("*").alias("_n"))
-    return placed.join(F.broadcast(sizes), out).withColumn(out, F.when(F.col("_n") < least, -1).otherwise(F.col(out))).select(*df.columns, out)
+    return placed.join(small(sizes), out).withColumn(out, F.when(F.col("_n") < least, -1).otherwise(F.col(out))).select(*df.columns, out)
 
 
 def word_topics(docs: DataFrame, k: int, tokens: str = "tokens", min_df: int = 2, size: int = 20_000, seed: int = 42, out: str = "topic") -> tuple[DataFrame, DataFrame]:

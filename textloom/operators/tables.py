@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import c, contains_any
+from textloom.session import packed
 
 SMALL_ROWS = 200_000
 
@@ -96,9 +97,20 @@ def keyword_regex_filter(df: DataFrame, keywords: list[str], text_col: str = "te
     return df.select(text_col).where(F.col(text_col).rlike(pattern) & (F.char_length(text_col) <= most)).distinct()
 
 
-def contains_join(docs: DataFrame, vocabulary: DataFrame, text_col: str, term_col: str) -> DataFrame:
-    """Every (document, term) with the lower-cased term in the lower-cased text; the vocabulary must be small and is broadcast."""
-    return docs.join(F.broadcast(vocabulary), F.lower(c(text_col)).contains(F.lower(c(term_col))))
+def contains_join(docs: DataFrame, vocabulary: DataFrame, text_col: str, term_col: str, rows: int = SMALL_ROWS) -> DataFrame:
+    """Every (document, term) with the lower-cased term in the lower-cased text.
+
+    A vocabulary of at most `rows` rows is broadcast. A larger one meets the distinct stretches of each text that are as
+    long as one of its terms, by an equi-join. Null texts and terms match nothing.
+    """
+    if vocabulary.limit(rows + 1).count() <= rows:
+        return docs.join(F.broadcast(vocabulary), F.lower(c(text_col)).contains(F.lower(c(term_col))))
+    terms = vocabulary.select(packed(vocabulary).alias("_term"), F.lower(c(term_col)).alias("_key"))
+    lengths = [r["n"] for r in terms.where("_key is not null").select(F.char_length("_key").alias("n")).distinct().collect()]  # as many as the longest term has characters
+    low = F.lower(c(text_col))
+    stretches = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(low) - n + 1, F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+    pieces = docs.where(F.col(text_col).isNotNull()).select(packed(docs).alias("_row"), F.explode(F.array_distinct(F.concat(*[stretches(n) for n in lengths]))).alias("_key"))
+    return pieces.join(terms, "_key").select("_row.*", "_term.*")
 
 
 def oversample(df: DataFrame, positive: Column, times: int = 10, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
@@ -123,9 +135,8 @@ def equals_any_case(column: str, *values: str) -> Column:
 
 
 def product_rows(subjects: DataFrame, predicates: DataFrame, subject: str = "subject", predicate: str = "predicate") -> DataFrame:
-    """Every subject with every predicate and their sentence; predicates are gathered into an array, so they must be few."""
-    some = predicates.agg(F.sort_array(F.collect_list(predicate)).alias("_all"))
-    rows = subjects.join(F.broadcast(some)).select(*subjects.columns, F.explode("_all").alias(predicate))
+    """Every subject with every predicate and their sentence: the product is the result, and the smaller side is broadcast if a count allows it."""
+    rows = subjects.select(*subjects.columns).crossJoin(small(predicates.where(F.col(predicate).isNotNull()).select(predicate)))
     return rows.withColumn("text", F.concat_ws(" ", subject, predicate))
 
 

@@ -21,6 +21,7 @@ from textloom.plans import stages
 from textloom.sources import readers
 from textloom.streaming import incremental
 from textloom.session import checkpoint_dir, cut, spread, table
+from textloom.sinks import writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -149,7 +150,7 @@ def cluster_quality(spark, sf):
     return A.cluster_quality(docs(spark, sf))
 
 
-@query(f"WITH {DOCS}, e AS (SELECT topic, lang, doc_id, unnest(list_slice(string_split(text, ' '), 1, 20)) AS target, generate_subscripts(list_slice(string_split(text, ' '), 1, 20), 1) AS pos FROM d WHERE topic <> -1), c AS (SELECT topic, lang, target, count(*) AS count, min((doc_id, pos)) AS f FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY topic, lang ORDER BY count DESC, f, target) AS place FROM c) SELECT topic, lang, target, count, place FROM r WHERE place <= 20")
+@query(f"WITH {DOCS}, e AS (SELECT topic, lang, doc_id, unnest(string_split(text, ' ')) AS target, generate_subscripts(string_split(text, ' '), 1) AS pos FROM d WHERE topic <> -1), c AS (SELECT topic, lang, target, count(*) AS count, min((doc_id, pos)) AS f FROM e GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY topic, lang ORDER BY count DESC, f, target) AS place FROM c) SELECT topic, lang, target, count, place FROM r WHERE place <= 20")
 def entity_frequency(spark, sf):
     rows = docs(spark, sf).where("topic <> -1").withColumn("words", F.split("text", " "))
     return A.exploded_counts(rows, ["topic", "lang"], "words", "doc_id", 20).withColumn("place", F.col("place").cast("long"))
@@ -292,8 +293,8 @@ def ngram_counts(spark, sf):
     return C.ngram_counts(tokenised(spark, sf), stop=CORE).where("count >= 10")
 
 
-_SETS = f"{TOKENS}, n AS (SELECT count(*) AS n, greatest(2, CAST(ceil(CAST(floor(count(*) * 0.05 * 100) AS BIGINT) / 100.0) AS BIGINT)) AS least FROM t), s0 AS (SELECT doc_id, unnest(list_distinct(tokens)) AS term FROM t), df AS (SELECT term, count(*) AS df FROM s0 GROUP BY term HAVING count(*) >= (SELECT least FROM n)), s AS (SELECT doc_id, term FROM s0 JOIN df USING (term))"
-_PAIRS = f"{_SETS}, co AS (SELECT x.term AS a, y.term AS b, count(*) AS co FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL), p AS (SELECT a, b, co, da.df AS df_a, db.df AS df_b, (SELECT n FROM n) AS n_docs FROM co JOIN df da ON da.term = a JOIN df db ON db.term = b)"
+_SETS = f"{TOKENS}, n AS (SELECT count(*) AS n FROM t), s0 AS (SELECT doc_id, unnest(list_distinct(tokens)) AS term FROM t), df AS (SELECT term, count(*) AS df FROM s0 GROUP BY term HAVING count(*) >= {LEAST_DF}), s AS (SELECT doc_id, term FROM s0 JOIN df USING (term))"
+_PAIRS = f"{_SETS}, co AS (SELECT x.term AS a, y.term AS b, count(*) AS co FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.term < y.term GROUP BY ALL HAVING count(*) >= {LEAST_CO}), p AS (SELECT a, b, co, da.df AS df_a, db.df AS df_b, (SELECT n FROM n) AS n_docs FROM co JOIN df da ON da.term = a JOIN df db ON db.term = b)"
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, co, df_a, df_b, n_docs FROM p")
@@ -306,7 +307,7 @@ def pmi_tscore(spark, sf):
     return C.document_scores(C.document_pairs(tokenised(spark, sf), LEAST_DF, min_co=LEAST_CO))
 
 
-_CORE = f"{_SETS}, q AS (SELECT x.term AS core, y.term AS term, count(*) AS co FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.term <> y.term WHERE list_contains({CORE!r}, x.term) GROUP BY ALL), r AS (SELECT core, q.term, co, round_even(ln((SELECT n FROM n) * co / CAST(a.df * b.df AS DOUBLE) + 1e-12), 6) AS pmi, round_even((co - a.df * b.df / CAST((SELECT n FROM n) AS DOUBLE)) / sqrt(co), 6) AS tscore FROM q JOIN df a ON a.term = core JOIN df b ON b.term = q.term), z AS (SELECT *, coalesce((pmi - min(pmi) OVER ()) / nullif(max(pmi) OVER () - min(pmi) OVER (), 0), 0) AS pn, coalesce((tscore - min(tscore) OVER ()) / nullif(max(tscore) OVER () - min(tscore) OVER (), 0), 0) AS tn FROM r), y AS (SELECT core, term, co, pmi, tscore, round_even(pn, 6) AS pmi_norm, round_even(tn, 6) AS tscore_norm, round_even(0.5 * pn + 0.5 * tn, 6) AS score FROM z)"
+_CORE = f"{_SETS}, q AS (SELECT x.term AS core, y.term AS term, count(*) AS co FROM s x JOIN s y ON x.doc_id = y.doc_id AND x.term <> y.term WHERE list_contains({CORE!r}, x.term) GROUP BY ALL HAVING count(*) >= {LEAST_CO}), r AS (SELECT core, q.term, co, round_even(ln((SELECT n FROM n) * co / CAST(a.df * b.df AS DOUBLE) + 1e-12), 6) AS pmi, round_even((co - a.df * b.df / CAST((SELECT n FROM n) AS DOUBLE)) / sqrt(co), 6) AS tscore FROM q JOIN df a ON a.term = core JOIN df b ON b.term = q.term), z AS (SELECT *, coalesce((pmi - min(pmi) OVER ()) / nullif(max(pmi) OVER () - min(pmi) OVER (), 0), 0) AS pn, coalesce((tscore - min(tscore) OVER ()) / nullif(max(tscore) OVER () - min(tscore) OVER (), 0), 0) AS tn FROM r), y AS (SELECT core, term, co, pmi, tscore, round_even(pn, 6) AS pmi_norm, round_even(tn, 6) AS tscore_norm, round_even(0.5 * pn + 0.5 * tn, 6) AS score FROM z)"
 
 
 @query(f"WITH {_CORE} SELECT *, CAST(row_number() OVER (PARTITION BY core ORDER BY score DESC, term) AS INTEGER) AS place FROM y QUALIFY row_number() OVER (PARTITION BY core ORDER BY score DESC, term) <= 10")
@@ -374,9 +375,14 @@ def pearson_axes(spark, sf):
     return S.pearson_matrix(biased(spark, sf), AXES)
 
 
-@query(f"{BIASED}, l AS ({MELTED}), g AS (SELECT axis, lang, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM l GROUP BY ALL), t AS (SELECT axis, sum(n) AS n, sum(n * m) / sum(n) AS m FROM g GROUP BY axis), s AS (SELECT axis, sum(g.n * (g.m - t.m) ** 2) AS ssb, sum(g.n * v) AS ssw, count(*) AS k, any_value(t.n) AS n FROM g JOIN t USING (axis) GROUP BY axis) SELECT axis, round_even((ssb / (k - 1)) / (ssw / (n - k)), 5) AS f_stat, round_even(ssb / (ssb + ssw), 6) AS eta_squared FROM s")
+@query(f"{BIASED}, l AS ({MELTED}), g AS (SELECT axis, lang, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM l GROUP BY ALL), t AS (SELECT axis, sum(n) AS n, sum(n * m) / sum(n) AS m FROM g GROUP BY axis), s AS (SELECT axis, sum(g.n * (g.m - t.m) ** 2) AS ssb, sum(g.n * v) AS ssw, count(*) AS k, any_value(t.n) AS n FROM g JOIN t USING (axis) GROUP BY axis HAVING min(g.n) >= 10) SELECT axis, round_even((ssb / (k - 1)) / (ssw / (n - k)), 5) AS f_stat, round_even(ssb / (ssb + ssw), 6) AS eta_squared FROM s")
 def anova_axes(spark, sf):
-    return S.anova(biased(spark, sf), AXES, "lang", 2).select("axis", F.bround("f_stat", 5).alias("f_stat"), A.r6(F.col("eta_squared")).alias("eta_squared"))
+    return S.anova(biased(spark, sf), AXES, "lang").select("axis", F.bround("f_stat", 5).alias("f_stat"), A.r6(F.col("eta_squared")).alias("eta_squared"))
+
+
+@query()
+def anova_significance(spark, sf):
+    return S.anova(biased(spark, sf), AXES, "lang").select("axis", "p_value", "significant", F.explode("welch").alias("pair", "welch_p"))
 
 
 # -- vectors ----------------------------------------------------------------------------------------------------------
@@ -477,14 +483,29 @@ def ensemble_eval(spark, sf):
     return voted(spark, sf).select("doc_id", "vote_for", "vote_against", "model_votes", "avg_prob", "avg_p_pos", "entropy", "conflict")
 
 
-@query(f"WITH {_VOTES}, z AS (SELECT w.*, text FROM w JOIN documents USING (doc_id)), pool AS (SELECT DISTINCT text FROM z WHERE (f > 0 AND f < 3) OR round_even(m, 6) BETWEEN 0.4 AND 0.6 OR round_even(m, 6) < 0.5) SELECT 'uncertain_or_low_confidence' AS sampling_strategy_tag, least(count(*), 100) AS rows FROM pool")
+_DRAW = "md5('{}:' || doc_id), doc_id"
+
+
+@query(f"""WITH {_VOTES}, z AS (SELECT doc_id, text, f, round_even(m, 6) AS m, f > 0 AND f < 3 AS conflict FROM w JOIN documents USING (doc_id)),
+pool AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY CASE WHEN conflict OR m BETWEEN 0.4 AND 0.6 THEN 0 ELSE 1 END, doc_id) AS r FROM z WHERE conflict OR m BETWEEN 0.4 AND 0.6 OR m < 0.5) WHERE r = 1),
+first AS (SELECT doc_id FROM pool ORDER BY {_DRAW.format(42)} LIMIT {{ANNOTATED}}), need AS (SELECT {{ANNOTATED}} - count(*) AS k FROM first),
+rest AS (SELECT * FROM z WHERE doc_id NOT IN (FROM first)),
+high AS (SELECT doc_id, row_number() OVER (ORDER BY {_DRAW.format(42)}) AS r FROM rest WHERE f = 3 AND m >= 0.8), low AS (SELECT doc_id, row_number() OVER (ORDER BY {_DRAW.format(42)}) AS r FROM rest WHERE f = 0)
+SELECT doc_id, 'uncertain_or_low_confidence' AS sampling_strategy_tag FROM first
+UNION ALL SELECT doc_id, 'consistent_hate_high_conf' FROM high WHERE r <= (SELECT (k + 1) // 2 FROM need)
+UNION ALL SELECT doc_id, 'consistent_non_hate' FROM low WHERE r <= (SELECT k // 2 FROM need)""".replace("{ANNOTATED}", "4000"))
 def annotation_sample(spark, sf):
-    return sampling.annotation_sample(voted(spark, sf), 100, 3).groupBy("sampling_strategy_tag").agg(F.count("*").alias("rows"))
+    return sampling.annotation_sample(voted(spark, sf), 4000, 3).select("doc_id", "sampling_strategy_tag")
 
 
-@query("SELECT toxic, quality, CASE WHEN k = 1 THEN 'val' ELSE 'train' END AS split, CASE WHEN k = 1 THEN v ELSE n - v END AS rows FROM (SELECT toxic, quality, count(*) AS n, CAST(round_even(count(*) * 0.1, 0) AS BIGINT) AS v FROM labels GROUP BY ALL), (SELECT unnest([0, 1]) AS k) WHERE CASE WHEN k = 1 THEN v ELSE n - v END > 0")
+@query(f"SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY toxic, quality ORDER BY {_DRAW.format(42)}) <= round_even(count(*) OVER (PARTITION BY toxic, quality) * 0.1, 0) THEN 'val' ELSE 'train' END AS split FROM labels")
 def stratified_split(spark, sf):
-    return sampling.split(table(spark, sf, "labels"), ["toxic", "quality"]).groupBy("toxic", "quality", "split").agg(F.count("*").alias("rows"))
+    return sampling.split(table(spark, sf, "labels"), ["toxic", "quality"]).select("doc_id", "split")
+
+
+@query(f"WITH n AS (SELECT count(*) // 5 AS size, count(*) % 5 AS longer FROM documents), r AS (SELECT doc_id, row_number() OVER (ORDER BY {_DRAW.format(42)}) - 1 AS place FROM documents) SELECT doc_id, CAST(CASE WHEN place < longer * (size + 1) THEN place // (size + 1) ELSE longer + (place - longer * (size + 1)) // greatest(size, 1) END AS INTEGER) AS fold FROM r, n")
+def fold_rows(spark, sf):
+    return sampling.exact_folds(docs(spark, sf)).select("doc_id", "fold")
 
 
 @query("SELECT CAST(k AS INTEGER) AS fold, (SELECT count(*) FROM documents) // 5 + CASE WHEN k < (SELECT count(*) FROM documents) % 5 THEN 1 ELSE 0 END AS rows FROM (SELECT unnest(range(0, 5)) AS k)")
@@ -492,14 +513,14 @@ def fold_sizes(spark, sf):
     return sampling.exact_folds(docs(spark, sf)).groupBy("fold").agg(F.count("*").alias("rows"))
 
 
-@query("SELECT lang, least(count(*), 25) AS rows FROM documents GROUP BY lang")
+@query(f"SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY {_DRAW.format(42)}) <= 25")
 def sample_per_lang(spark, sf):
-    return sampling.sample_per_group(docs(spark, sf), "lang", 25).groupBy("lang").agg(F.count("*").alias("rows"))
+    return sampling.sample_per_group(docs(spark, sf), "lang", 25).select("doc_id", "lang")
 
 
-@query("SELECT toxic, count(*) * CASE WHEN toxic = 1 THEN 10 ELSE 1 END AS rows FROM labels GROUP BY toxic")
+@query("SELECT doc_id, toxic, CAST(copy AS INTEGER) AS copy FROM labels, (SELECT unnest(range(1, 11)) AS copy) WHERE toxic = 1 OR copy = 1")
 def oversampled(spark, sf):
-    return J.oversample(table(spark, sf, "labels"), F.col("toxic") == 1).groupBy("toxic").agg(F.count("*").alias("rows"))
+    return J.oversample(table(spark, sf, "labels"), F.col("toxic") == 1).select("doc_id", "toxic", "copy")
 
 
 @query("SELECT d.doc_id, 'exact' AS kind FROM documents d WHERE doc_id % 10 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 10 <> 0)")
@@ -580,6 +601,116 @@ def token_context(spark, sf):
     return rows.select("doc_id", F.array_join(F.slice("tokens", start.cast("int"), (F.col("p") + 9 - start).cast("int")), " ").alias("context"))
 
 
+# -- words, topics and text forms -------------------------------------------------------------------------------------
+
+SYLLABLES = ["tion", "ing", "ent", "the", "ung", "heit", "ción", "eau", "er", "en"]
+
+
+@query(f"WITH {TOKENS}, c AS (SELECT lang, term, count(*) AS tf FROM (SELECT lang, unnest(tokens) AS term FROM t) GROUP BY ALL), s AS (SELECT lang, sum(tf) AS words FROM c GROUP BY lang), f AS (SELECT term, sum(tf) AS f FROM c GROUP BY term HAVING sum(tf) >= 5), w AS (SELECT lang, term, round_even(tf / words * ln(1 + (SELECT avg(words) FROM s) / f), 6) AS weight FROM c JOIN s USING (lang) JOIN f USING (term)) SELECT lang, term, weight, CAST(row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) AS INTEGER) AS place FROM w QUALIFY row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) <= 10")
+def class_keywords(spark, sf):
+    return C.class_keywords(tokenised(spark, sf), "lang", 10, min_df=5)
+
+
+_GRAMS = "list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: array_to_string(tokens[i:i + 1], ' ')))"
+
+
+@query(f"WITH {TOKENS}, n AS (SELECT count(*) AS n FROM t), x AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_GRAMS}) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 3 AND count(*) <= 0.85 * (SELECT n FROM n)), w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT n FROM n)) / (1.0 + df)) + 1) AS w FROM x JOIN df USING (term)), v AS (SELECT term, round_even(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w), s AS (SELECT term, round_even(sum(weight) / (SELECT n FROM n), 6) AS mean_weight FROM v GROUP BY term) SELECT 'all' AS pool, term, mean_weight, CAST(row_number() OVER (ORDER BY mean_weight DESC, term) AS INTEGER) AS place FROM s QUALIFY row_number() OVER (ORDER BY mean_weight DESC, term) <= 50")
+def keyword_candidates(spark, sf):
+    rows = tokenised(spark, sf).withColumn("grams", F.concat("tokens", C.ngrams("tokens", 2))).withColumn("pool", F.lit("all"))
+    return C.group_keywords(rows, "pool", 50, tokens="grams", min_df=3, max_df=0.85)
+
+
+@query(f"WITH {TOKENS}, n AS (SELECT count(*) AS n FROM t), x AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM x GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.1 * (SELECT n FROM n)), w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT n FROM n)) / (1.0 + df)) + 1) AS w FROM x JOIN df USING (term)), v AS (SELECT doc_id, term, round_even(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w), p AS (SELECT q.doc_id, v.doc_id AS nearest, round_even(sum(q.weight * v.weight), 6) AS s FROM v q JOIN v USING (term) WHERE q.doc_id % 100 = 0 AND v.doc_id % 100 <> 0 GROUP BY ALL), b AS (SELECT doc_id, arg_min((nearest, s), (-s, nearest)) AS b FROM p GROUP BY doc_id) SELECT doc_id, b[1] AS nearest, coalesce(b[2], 0.0) AS similarity FROM (SELECT doc_id FROM documents WHERE doc_id % 100 = 0) LEFT JOIN b USING (doc_id)")
+def text_redundancy(spark, sf):
+    rows = tokenised(spark, sf)
+    return C.max_text_similarity(rows.where("doc_id % 100 = 0"), rows.where("doc_id % 100 <> 0"), min_df=2, max_df=0.1)
+
+
+@query(f"WITH {DOCS} SELECT doc_id, array_to_string(regexp_extract_all(lower(text), '{'|'.join(sorted(SYLLABLES, key=lambda w: (-len(w), w)))}|[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]'), ' ') AS words FROM d")
+def dictionary_words(spark, sf):
+    return docs(spark, sf).select("doc_id", F.array_join(T.dictionary_tokens(F.lower("text"), SYLLABLES), " ").alias("words"))
+
+
+@query(f"WITH {_E}, s AS (SELECT vec_id, label, list_transform(e, lambda x: x) AS e FROM e), d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.e, b.e) ** 2) AS s, count(*) AS n FROM s a JOIN s b ON true GROUP BY ALL), k AS (SELECT label, count(*) AS n FROM e GROUP BY label), i AS (SELECT vec_id, max(CASE WHEN own = other AND d.n > 1 THEN s / (d.n - 1) WHEN own = other THEN 0 END) AS a, min(CASE WHEN own <> other THEN s / d.n END) AS b, max(CASE WHEN own = other THEN d.n END) AS size FROM d GROUP BY vec_id) SELECT round_even(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM i")
+def silhouette_score(spark, sf):
+    value = V.silhouette(table(spark, sf, "embeddings"), "label", "embedding", "euclidean")
+    return spark.createDataFrame([(float(value),)], "v double").select(A.r6(F.col("v")).alias("silhouette"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+', ' ', 'g'), '[^\\x{{4e00}}-\\x{{9fff}}A-Za-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS zh, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), 'https?://\\S+', ' ', 'g'), '[^\\x{{3040}}-\\x{{30ff}}\\x{{4e00}}-\\x{{9fff}}\\x{{ff10}}-\\x{{ff19}}A-Za-z0-9ー]', ' ', 'g'), '\\s+', ' ', 'g')) AS ja FROM d")
+def clean_other(spark, sf):
+    return docs(spark, sf).select("doc_id", T.clean_zh("text").alias("zh"), T.clean_ja("text").alias("ja"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, regexp_replace('1. - ' || text[1:100], '^[\\d.\\-*\\s]+', '') AS bare, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-zA-Z'']+'), lambda w: NOT list_contains({CORE!r}, w) AND NOT regexp_full_match(w, '[0-9]+')), ' ') AS kept FROM d")
+def bare_words(spark, sf):
+    kept = T.without(T.tokens("text", F.lit("en")), CORE)
+    return docs(spark, sf).select("doc_id", T.strip_list_marker(F.concat(F.lit("1. - "), F.substring("text", 1, 100))).alias("bare"), F.array_join(kept, " ").alias("kept"))
+
+
+@query(f"WITH {DOCS} SELECT DISTINCT text FROM d WHERE regexp_matches(text, '(?i){'|'.join(KEYWORDS)}') AND length(text) <= 300")
+def keyword_regex(spark, sf):
+    return J.keyword_regex_filter(docs(spark, sf), KEYWORDS)
+
+
+@query(f"WITH {DOCS}, s AS (SELECT doc_id, lang, {SQUEEZE.format('text')} AS s FROM d) SELECT doc_id, json_object('context', s[1:220], 'lang', lang, 'predicate', split_part(s, ' ', 1)[1:120], 'target', lower(split_part(s, ' ', 2))[1:80]) AS key FROM s")
+def classification_keys(spark, sf):
+    word = lambda k: F.split_part(T.normalise("text"), F.lit(" "), F.lit(k))
+    return docs(spark, sf).select("doc_id", T.classification_key(word(1), "text", "lang", word(2)).alias("key"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, array_to_string(list_filter(list_transform(string_split(source || ', ' || lang || ',,' || source, ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS listed, array_to_string([source, lang], '|') AS quoted FROM d")
+def entity_lists(spark, sf):
+    comma = F.concat("source", F.lit(", "), "lang", F.lit(",,"), "source")
+    printed = F.concat(F.lit("['"), "source", F.lit("', \""), "lang", F.lit('"]'))
+    return docs(spark, sf).select("doc_id", F.array_join(T.entity_list(comma), "|").alias("listed"), F.array_join(T.entity_list(printed), "|").alias("quoted"))
+
+
+@query(f"WITH {DOCS} SELECT doc_id, lang, n_chars FROM d ORDER BY n_chars DESC, lang, doc_id LIMIT 100")
+def longest_documents(spark, sf):
+    return docs(spark, sf).orderBy(F.desc("n_chars"), "lang", "doc_id").limit(100).select("doc_id", "lang", "n_chars")
+
+
+# -- sources and sinks ------------------------------------------------------------------------------------------------
+
+
+def _written(spark, sf):
+    """Rows to write, and a folder for them that all machines share."""
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), f"{checkpoint_dir(spark)}/written-{uuid.uuid4().hex}"
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, source, text FROM documents")
+def csv_round_trip(spark, sf):
+    rows, folder = _written(spark, sf)
+    writers.write_csv(rows, folder)
+    return readers.read_csv(spark, folder, strings=True)
+
+
+@query("SELECT doc_id, lang, source, text FROM documents")
+def jsonl_round_trip(spark, sf):
+    rows, folder = _written(spark, sf)
+    writers.write_jsonl(rows, folder)
+    return spark.read.schema(rows.schema).json(folder)
+
+
+@query("SELECT doc_id, source FROM documents")
+def appended_new(spark, sf):
+    rows, folder = _written(spark, sf)
+    rows = rows.select("doc_id", "source")
+    writers.append_new(rows.where("doc_id % 3 = 0"), folder, "doc_id")
+    writers.append_new(rows, folder, "doc_id")
+    return spark.read.parquet(folder)
+
+
+@query("SELECT source AS key, CAST(max(CASE WHEN doc_id % 2 = 0 THEN doc_id + 1000000 ELSE NULL END) AS VARCHAR) AS value FROM documents GROUP BY source HAVING max(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) = 1 UNION ALL SELECT source, CAST(max(doc_id) AS VARCHAR) FROM documents GROUP BY source HAVING max(CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END) = 0")
+def cached_values(spark, sf):
+    rows, folder = _written(spark, sf)
+    cache = writers.KeyedCache(spark, folder)
+    cache.put(rows.groupBy(F.col("source").alias("key")).agg(F.max("doc_id").cast("string").alias("value")))
+    cache.put(rows.where("doc_id % 2 = 0").groupBy(F.col("source").alias("key")).agg((F.max("doc_id") + 1_000_000).cast("string").alias("value")))
+    return cache.load()
+
+
 # -- layers and streams -----------------------------------------------------------------------------------------------
 
 GAZETTEER = [("the", "article"), ("erthe", "noun"), ("que", "particle"), ("und", "particle")]
