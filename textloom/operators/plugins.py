@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -17,18 +21,48 @@ class BatchModel(Protocol):
     def __call__(self, texts: list[str]) -> list: ...
 
 
-def apply_model(df: DataFrame, model: Callable[[], BatchModel], text_col: str, out_col: str, out_type: str, default=None) -> DataFrame:
-    """Adds a column made by a model. `model` is a factory that is called once per task; a batch that fails gives defaults."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{out_col}` {out_type}"
+FACTORIES: dict[str, Callable[..., Callable[[], BatchModel]]] = {}
+
+
+def factory(name: str):
+    """Registers a function that makes a model's factory, under a name that configurations can use."""
+
+    def register(f):
+        FACTORIES[name.lower()] = f
+        return f
+
+    return register
+
+
+def make(name: str, **options) -> Callable[[], BatchModel]:
+    """The factory of a registered model."""
+    if name.lower() not in FACTORIES:
+        raise KeyError(f"no model {name!r}; known: {', '.join(sorted(FACTORIES)) or 'none'}")
+    return FACTORIES[name.lower()](**options)
+
+
+def discover(package: str) -> list[str]:
+    """Imports all modules of a package, whose registrations run; returns the names that are known then."""
+    root = importlib.import_module(package)
+    for module in pkgutil.walk_packages(getattr(root, "__path__", []), f"{package}."):
+        importlib.import_module(module.name)
+    return sorted(FACTORIES)
+
+
+def apply_model(df: DataFrame, model: Callable[[], BatchModel], text_col: str, out_col: str, out_type: str, default=None, failed_col: str | None = None) -> DataFrame:
+    """Adds a column made by a model. `model` is a factory that is called once per task; a batch that fails gives defaults,
+    and is marked in `failed_col` if that is named."""
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `{out_col}` {out_type}" + (f", `{failed_col}` boolean" if failed_col else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = model()
         for batch in batches:
+            failed = False
             try:
                 values = own(batch[text_col].fillna("").tolist())
             except Exception:  # noqa: BLE001  a model's failure must not lose rows
-                values = [default] * len(batch)
-            yield batch.assign(**{out_col: pd.Series(values, index=batch.index, dtype=object)})
+                values, failed = [default] * len(batch), True
+            yield batch.assign(**{out_col: pd.Series(values, index=batch.index, dtype=object)} | ({failed_col: failed} if failed_col else {}))
 
     return df.mapInPandas(run, schema)
 
@@ -55,6 +89,11 @@ class KeywordClassifier:
         return out
 
 
+@factory("keywords")
+def keyword_classifier(keywords: list[str]) -> Callable[[], BatchModel]:
+    return lambda: KeywordClassifier(keywords)
+
+
 def hashed_embedding(text_col: str, dim: int = 64):
     """Offline default embedding: signed feature hashing of words, natively."""
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -62,29 +101,51 @@ def hashed_embedding(text_col: str, dim: int = 64):
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(slots, lambda s: s["i"] == i), F.lit(0.0), lambda a, s: a + s["v"]))
 
 
+def rate_of_a_task(df: DataFrame, rate: float) -> float:
+    """The part of a cluster's rate of calls that each task of a stage over `df` may use, so that all together keep to it."""
+    together = min(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
+    return rate / max(together, 1)
+
+
 class Governor:
-    """Token bucket with adaptive concurrency for remote models: `rate` calls a second, halved on a limit, raised after successes."""
+    """Token bucket with adaptive concurrency for remote models: `rate` calls a second, halved on a limit, raised after successes.
+
+    One object may be shared by the threads of a process; tasks of a cluster share a rate by rate_of_a_task().
+    """
 
     def __init__(self, rate: float, concurrency: int, least: int = 1, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
         self.rate, self.concurrency, self.least, self.most = rate, concurrency, least, concurrency
-        self.clock, self.sleep, self.tokens, self.at, self.good = clock, sleep, rate, clock(), 0
+        self.clock, self.sleep, self.tokens, self.at, self.good = clock, sleep, max(rate, 1.0), clock(), 0
+        self.lock = threading.Lock()
 
     def acquire(self) -> None:
         while True:
-            now = self.clock()
-            self.tokens = min(self.rate, self.tokens + (now - self.at) * self.rate)
-            self.at = now
-            if self.tokens >= 1:
-                self.tokens -= 1
-                return
-            self.sleep((1 - self.tokens) / self.rate)
+            with self.lock:
+                now = self.clock()
+                self.tokens = min(max(self.rate, 1.0), self.tokens + (now - self.at) * self.rate)
+                self.at = now
+                if self.tokens >= 1 - 1e-9:  # what is missing may be less than a clock can tell
+                    self.tokens -= 1
+                    return
+                wait = (1 - self.tokens) / self.rate
+            self.sleep(wait)
+
+    def map(self, requests: Iterable[Callable[[], object]], **options) -> list:
+        """Runs requests in threads, as many at a time as the limits of the time allow; results in order."""
+        waiting, out = list(requests), []
+        while waiting:
+            now, waiting = waiting[: self.concurrency], waiting[self.concurrency :]
+            with ThreadPoolExecutor(len(now)) as pool:
+                out += pool.map(lambda r: self.call(r, **options), now)
+        return out
 
     def report(self, limited: bool) -> None:
-        self.good = 0 if limited else self.good + 1
-        if limited:
-            self.concurrency = max(self.least, self.concurrency // 2)
-        elif self.good % 10 == 0:
-            self.concurrency = min(self.most, self.concurrency + 1)
+        with self.lock:
+            self.good = 0 if limited else self.good + 1
+            if limited:
+                self.concurrency = max(self.least, self.concurrency // 2)
+            elif self.good % 10 == 0:
+                self.concurrency = min(self.most, self.concurrency + 1)
 
     def call(self, request: Callable[[], object], is_limit: Callable[[Exception], bool] = lambda e: "429" in str(e), attempts: int = 3) -> object:
         """Runs a request with backoff 2^attempt seconds, five times that on a limit; the last error is raised."""

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.operators.aggregates import dominant, modal, shares_within
-from textloom.operators.tables import small
-from textloom.sinks.writers import markdown_table, write_csv_file, write_json, write_jsonl
+from textloom.operators.aggregates import dominant, language_axis_summary, means, modal, shares_within
+from textloom.operators.statistics import axis_long_table, pearson_matrix
+from textloom.operators.tables import small, top_k_members
+from textloom.sinks.writers import markdown_table, put_file, write_csv_file, write_json, write_jsonl
 
 
 @dataclass
@@ -94,6 +94,27 @@ def frame_counts(how: DataFrame) -> dict:
     return {r["frame_type"]: r["count"] for r in how.where(F.col("frame_type") != "noise").groupBy("frame_type").count().collect()}
 
 
+def chart_tables(r: Result, top: int = 30) -> dict[str, DataFrame]:
+    """The tables behind the charts of a run, by name: small, and in the shape that a chart needs. Drawing is left to other programs."""
+    out: dict[str, DataFrame] = {}
+    if r.who is not None:
+        out["who_targets"] = who_rows(r.who)
+    if r.how is not None:
+        rows = r.how.where(F.col("frame_type") != "noise")
+        out["how_frame_by_topic"] = shares_within(rows, ["topic"], "frame_type")
+        out["how_frame_by_language"] = shares_within(rows, ["lang"], "frame_type")
+        out["how_target_by_frame"] = top_k_members(rows, "target", top).groupBy("target", "frame_type").agg(F.count("*").alias("count"))
+        out["how_hierarchy"] = rows.rollup("lang", "topic", "frame_type").agg(F.count("*").alias("count"))
+        out["how_verbs"] = rows.groupBy("frame_type", "verb").agg(F.count("*").alias("count"))
+    if r.why is not None:
+        axes = axis_columns(r.why)
+        out["why_axis_by_language"] = axis_long_table(r.why, axes, "lang")
+        out["why_axis_by_topic"] = means(r.why, ["topic"], axes)
+        out["why_correlation"] = pearson_matrix(r.why, axes)
+        out["why_language_summary"] = language_axis_summary(r.why, axes)
+    return out
+
+
 def meta(r: Result) -> dict:
     out = {"run_timestamp": r.run_id, "input_path": r.input_path, "stages_run": r.stages_run, "errors": [{**e, "error": str(e.get("error"))[:200]} for e in r.errors], **r.stats}
     out["who_topic_count"] = r.who.count() if r.who is not None else 0
@@ -106,8 +127,7 @@ def meta(r: Result) -> dict:
 
 
 def export(r: Result, folder: str, formats: tuple[str, ...] = ("jsonl", "csv", "markdown")) -> list[str]:
-    """Writes the asked formats and returns the paths; a layer that did not run is skipped."""
-    os.makedirs(folder, exist_ok=True)
+    """Writes the asked formats (`charts`: the tables behind charts) and returns the paths; a layer that did not run is skipped."""
     at = lambda name: f"{folder}/{r.run_id}_{name}"
     files = []
     if "jsonl" in formats:
@@ -123,11 +143,10 @@ def export(r: Result, folder: str, formats: tuple[str, ...] = ("jsonl", "csv", "
             files.append(write_csv_file(r.why, at("why_bias_matrix.csv"), order=["doc_id"]))
         if any(x is not None for x in (r.who, r.how, r.why)):
             files.append(write_csv_file(summary_rows(r), at("pipeline_summary.csv")))
+    if "charts" in formats:
+        files += [write_csv_file(df, at(f"chart_{name}.csv"), order=df.columns) for name, df in chart_tables(r).items()]
     if "markdown" in formats:
-        path = at("report.md")
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(report(r))
-        files.append(path)
+        files.append(put_file(at("report.md"), report(r)))
     return files
 
 

@@ -20,7 +20,7 @@ from textloom.sources.readers import first_existing, load_config, read_csv
 
 DEFAULTS = {
     "input": "documents.csv", "output": "out", "lang": "auto", "work": None, "strict": False, "viz_only": False,
-    "stages": {"who": True, "how": True, "why": True}, "who": {"top_n": 10, "min_entities": 2, "gazetteer": None}, "how": {"rules": None, "max_rows": None}, "why": {"axes": None, "max_docs": None, "from_bias": None}, "export": {"formats": ["jsonl", "csv", "markdown"]},
+    "stages": {"who": True, "how": True, "why": True}, "who": {"top_n": 10, "min_entities": 2, "gazetteer": None}, "how": {"rules": None, "max_rows": None}, "why": {"axes": None, "max_docs": None}, "export": {"formats": ["jsonl", "csv", "markdown"]},
 }
 
 

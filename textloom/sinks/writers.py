@@ -30,6 +30,24 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def put_file(path: str, text: str, encoding: str = "utf-8") -> str:
+    """One file in the file system that the path or the session names; on a cluster that isn't the driver's disk."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.getScheme() != "file":
+            out = fs.create(target, True)
+            out.write(bytearray(text.encode(encoding)))
+            out.close()
+            return path
+    path = path.removeprefix("file://")
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding=encoding, newline="") as f:
+        f.write(text)
+    return path
+
+
 def write_csv_file(df: DataFrame, path: str, bom: bool = True, order: list | None = None) -> str:
     """One CSV file, with a byte order mark for spreadsheet programs; refuses tables over SMALL_ROWS rows."""
     rows = flat(df.orderBy(*order) if order else df)
@@ -40,10 +58,7 @@ def write_csv_file(df: DataFrame, path: str, bom: bool = True, order: list | Non
     w = csv.writer(out, lineterminator="\n")
     w.writerow(rows.columns)
     w.writerows([["" if v is None else v for v in r] for r in found])
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
-        f.write(out.getvalue())
-    return path
+    return put_file(path, out.getvalue(), "utf-8-sig" if bom else "utf-8")
 
 
 def append(df: DataFrame, path: str) -> str:
@@ -82,10 +97,7 @@ def write_table(df: DataFrame, path: str, kind: str = "csv") -> str:
 
 
 def write_json(data: dict, path: str) -> str:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(data, f, ensure_ascii=False, indent=2, default=str)
-    return path
+    return put_file(path, json.dumps(data, ensure_ascii=False, indent=2, default=str))
 
 
 class KeyedCache:
