@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from textloom.llm.secret_scan import ALLOWED, THRESHOLDS, secret_scan
 
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -55,3 +57,20 @@ def test_against_brute_force(docs_of):
     assert sum(e[5] > 0 for _, e in expected) > 20
     assert secret_scan(docs_of(rows)).count() == len(rows)
     assert secret_scan(docs_of([])).collect() == []
+
+
+@pytest.mark.parametrize("part, n, suspect", [("ab-12-", 1_000_000, False), ("a/1/", 500_000, False), ("abc_1234=", 500_000, False), ("example0-", 300_000, False), ("0123456789x", 300_000, False), ("q8W2e4R6t9Y1u3I5o7P0-", 2_000, True), ("ab12-", 10_000, False)])
+def test_long_candidates_of_many_segments(docs_of, part, n, suspect):
+    text = part * n
+    [row] = secret_scan(docs_of([(1, text)])).collect()
+    assert row.n_entropy == int(suspect) and (row.spans == f"entropy:0:{len(text)}") == suspect
+
+
+def test_many_spans_in_one_text(docs_of):
+    rng = random.Random(2)
+    parts = []
+    for _ in range(5_000):
+        secret = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(28))
+        parts.append(rng.choice(["token=", "password: '", "", "", "key "]) + rng.choice([secret, secret + "." + secret, rng.randbytes(16).hex(), "AKIA" + secret.upper()]))
+    text = " ".join(parts)
+    assert tuple([*secret_scan(docs_of([(1, text)])).collect()][0])[1:] == brute(text)

@@ -23,6 +23,8 @@ ALLOWED = (
     r"(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/=+](?:[A-Za-z]+|[0-9]{1,4})?)*",
     r"[0-9_/=+-]+",
 )
+# The third of these with possessive repeats, which match the same and on which Java's engine doesn't recurse.
+_SLUG = r"(?:[A-Za-z]++|[0-9]{1,4}+)(?:[-_/=+](?:[A-Za-z]++|[0-9]{1,4}+)?+)*+"
 _GRAMS = 80  # characters from '+' (43) to 'z' (122)
 _BLOCK = 256
 
@@ -90,6 +92,24 @@ def window_entropy(text: Column, window: int = WINDOW) -> Column:
     return bind(codes, fold)
 
 
+def outside(candidates: Column, assigned: Column, whole: Column) -> Column:
+    """The candidates that lie in no base span, in time linear in both.
+
+    A candidate is a longest run of its characters, and so is an access key or a hex string of some of them: one of
+    those holds a candidate only if it is the same span. An assignment may hold several; they are the runs that are
+    found in its match alone. So spans are compared as strings of start and match, by a hash set.
+    """
+    key = lambda start, s: F.concat_ws(":", start.cast("string"), s["match"])
+    inner = F.flatten(F.transform(assigned, lambda a: F.transform(spans_of(a["match"], CANDIDATE), lambda s: key(a["start"] + s["start"], s))))
+    left = F.array_except(F.transform(candidates, lambda s: key(s["start"], s)), F.concat(inner, F.transform(whole, lambda s: key(s["start"], s))))
+
+    def span(k: Column) -> Column:
+        start, match = F.substring_index(k, ":", 1).cast("long"), F.substring_index(k, ":", -1)
+        return F.struct(start.alias("start"), (start + F.char_length(match)).alias("end"), match.alias("match"))
+
+    return F.when(F.size(candidates) > 0, F.transform(left, span)).otherwise(candidates)
+
+
 def _named(spans: Column, kind: str, order: int) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
@@ -105,6 +125,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     letter and a digit) is a span of kind `entropy` if one of its windows reaches the threshold of its class
     (hex, alnum, base64), no allow-list pattern matches all of it, and it doesn't lie in a base span.
 
+    Long texts and long candidates are scanned whole, in time about linear in them and without recursion.
+
     Cases: null text = empty text = no spans, the digest of the empty string; a null id is returned as it is; repeated
     rows are scanned each; spans of one start are listed in the order assign, access, hex, entropy; an empty table
     gives no rows; other columns are ignored, whatever their names.
@@ -114,19 +136,19 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     value = lambda s: F.regexp_extract(s["match"], ASSIGN, 2)
     rows = rows.select("doc_id", F.filter(spans_of(F.col("t"), ASSIGN), lambda s: F.char_length(value(s)) >= 6).alias("a"), spans_of(F.col("t"), ACCESS).alias("k"), spans_of(F.col("t"), HEX).alias("h"), spans_of(F.col("t"), CANDIDATE).alias("c"))
     base = F.concat(_named(F.col("a"), "assign", 0), _named(F.col("k"), "access", 1), _named(F.col("h"), "hex", 2))
-    rows = rows.select("doc_id", F.size("a").cast("long").alias("n_assign"), F.size("k").cast("long").alias("n_access"), F.size("h").cast("long").alias("n_hex"), base.alias("base"), "c")
+    free = outside(F.col("c"), F.col("a"), F.concat("k", "h"))
+    rows = rows.select("doc_id", F.size("a").cast("long").alias("n_assign"), F.size("k").cast("long").alias("n_access"), F.size("h").cast("long").alias("n_hex"), base.alias("base"), free.alias("c"))
 
     def suspicious(s: Column) -> Column:
         m = s["match"]
         limit = F.when(m.rlike("^[0-9a-fA-F]+$"), limits["hex"]).when(m.rlike("^[A-Za-z0-9]+$"), limits["alnum"]).otherwise(limits["base64"])
         allowed = F.lit(False)
-        for pattern in ALLOWED:
+        for pattern in (*ALLOWED[:2], _SLUG, *ALLOWED[3:]):
             allowed = allowed | m.rlike(f"^(?:{pattern})$")
         mixed = m.rlike("[A-Za-z]") & m.rlike("[0-9]")
         return F.when(mixed & ~allowed, window_entropy(m) >= limit).otherwise(False)
 
-    outside = lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]))
-    more = F.filter(F.filter("c", outside), suspicious)
+    more = F.filter("c", suspicious)
     rows = rows.select("doc_id", "n_assign", "n_access", "n_hex", "base", _named(more, "entropy", 3).alias("more"))
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "more")).alias("spans"), F.size("more").cast("long").alias("n_entropy"))
 
