@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.session import cut
+from textloom.session import cut, packed
 
 WORD = r"[^\x09-\x0D\x20]+"
 STEPS = 20  # bisection steps
 AT_ONCE = 5  # steps whose middles are evaluated in one pass
 BLOCK = 512  # documents of a block of a permutation, about
+BLOCKS = 4096  # blocks of a stretch
 BROADCAST_ROWS = 100_000  # sources up to which their table is broadcast
 _RANGE = 16**15
 
@@ -91,10 +92,11 @@ def _least(sources: DataFrame, share: Column, mix: Mix, target: float, what: str
 def mix_plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per source: source, tokens, docs, weight, budget, full (whole epochs), rest (tokens of the last one), blocks, cut_place, cut_id.
 
-    The last epoch takes the documents of its permutation whose running total, ties included, stays within `rest`: those
-    up to (cut_place, cut_id), null if there are none. The cut is found in two steps, so that no task holds a source: the
-    token sums of the permutation's blocks are summed up per source, then the documents of the one block where the
-    budget ends.
+    The last epoch takes the documents of its permutation that begin before `rest` tokens are full, so the one that
+    crosses the budget comes along (a source of one document isn't lost): those up to (cut_place, cut_id), null if
+    `rest` is 0. The cut is found in three steps, so that no task holds a source: the stretch of blocks, the block and
+    the document where the running total reaches `rest`. Each step sums up what is combined per source: stretches of
+    about BLOCK * BLOCKS documents, the blocks of one stretch, the documents of one block.
     """
     slim = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), tokens_of(F.col(text_col)).alias("n")))
     sources = cut(slim.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("docs")))
@@ -107,20 +109,24 @@ def mix_plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str =
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
     plan = plan.withColumn("full", whole).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")).withColumn("blocks", F.ceil(F.col("docs") / F.lit(float(BLOCK))).cast("long"))
 
-    placed = slim.join(small(plan.select("source", "full", "rest", "blocks")), "source")
+    placed = slim.join(small(plan.where("rest > 0").select("source", "full", "rest", "blocks")), "source")
     placed = placed.withColumn("place", place_of(mix.seed, F.col("full"), F.col("doc_id"))).withColumn("block", block_of(F.col("place"), F.col("blocks")))
-    sums = placed.groupBy("source", "rest", "block").agg(F.sum("n").alias("n"))
-    by_block = Window.partitionBy("source").orderBy("block")
-    running = sums.withColumn("until", F.sum("n").over(by_block)).withColumn("before", F.col("until") - F.col("n"))
-    last = running.where((F.col("before") <= F.col("rest")) & (F.col("until") > F.col("rest"))).groupBy("source").agg(F.min_by(F.struct("block", "before"), "block").alias("end"))
-    whole_blocks = running.where(F.col("until") <= F.col("rest")).groupBy("source").agg(F.max("block").alias("last_whole"))
-    ends = cut(sources.select("source").join(last, "source", "left").join(whole_blocks, "source", "left").select("source", F.col("end.block").alias("end_block"), F.coalesce("end.before", F.lit(0)).alias("end_before"), "last_whole"))
-    near = placed.join(small(ends), "source").where("block = end_block or block = last_whole")
-    in_block = Window.partitionBy("source", "block").orderBy("place", "id")
-    near = near.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))).withColumn("upto", F.sum("n").over(in_block))
-    inside = near.where((F.col("block") == F.col("last_whole")) | (F.col("end_before") + F.col("upto") <= F.col("rest")))
-    cuts = inside.groupBy("source").agg(F.max(F.struct("place", "id")).alias("cut"))
-    return plan.join(cuts, "source", "left").select(*plan.columns, F.col("cut.place").alias("cut_place"), F.col("cut.id").alias("cut_id"))
+    sums = cut(placed.groupBy("source", "rest", "block").agg(F.sum("n").alias("n"))).withColumn("stretch", F.floor(F.col("block") / BLOCKS))
+    stretches = sums.groupBy("source", "rest", "stretch").agg(F.sum("n").alias("n"))
+    end = _end(stretches.withColumn("start", F.lit(0).cast("long")), "stretch")
+    in_stretch = sums.join(small(end), ["source", "stretch"])
+    end = cut(_end(in_stretch, "block"))
+    near = placed.join(small(end), ["source", "block"]).withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
+    cuts = _end(near.withColumn("spot", F.struct("place", "id")), "spot")
+    return plan.join(cuts, "source", "left").select(*plan.columns, F.col("spot.place").alias("cut_place"), F.col("spot.id").alias("cut_id"))
+
+
+def _end(parts: DataFrame, order: str) -> DataFrame:
+    """source, `order` and start of each source's first part (source, rest, start, n) with which the running total, ties included, reaches rest."""
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy("source").orderBy(order))
+    ended = parts.withColumn("upto", upto).where("upto >= rest")
+    first = ended.groupBy("source").agg(F.min(F.struct(F.col(order).alias("at"), (F.col("upto") - F.col("n")).alias("start"))).alias("end"))
+    return first.select("source", F.col("end.at").alias(order), F.col("end.start").alias("start"))
 
 
 def block_of(place: Column, blocks: Column) -> Column:
@@ -133,31 +139,39 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
-def mix_sources(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """One row per document and epoch of the mix: `keep` columns (default id and source), and epoch, block, place, n_tokens, weight.
-
-    Sources get weights share^exponent (see find_exponent) and a budget of tokens each. A budget is met by whole epochs
-    of the source and the head of one more; every epoch has its own permutation, by a digest of seed, epoch and id, in
-    blocks. Ordering a source by (epoch, place) gives the permutation. A document's part in the last epoch is a
-    comparison with the source's cut, so texts are neither shuffled nor sorted.
-
-    Cases: a null source counts as ''; null text = empty text = 0 tokens, which cost nothing and come with the last
-    epoch's head; a null id comes first among equal places; repeated rows share a place and come or go together; a
-    source without tokens has weight 0 and comes only with an empty budget's zero-token head; an empty table gives no
-    rows; other columns are ignored unless kept, whatever their names.
-    """
+def mix_rows(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """mix_sources() with the kept columns (default: all) in one struct `row`, where no name can clash."""
     mix = mix or Mix()
-    keep = keep or [id_col, source_col]
     plan = cut(mix_plan(docs, mix, id_col, text_col, source_col))
     parts = plan.select(F.struct(F.col("source"), "weight", "full", "blocks", "cut_place", "cut_id").alias("_plan"))
-    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), tokens_of(F.col(text_col)).alias("n")).alias("_doc"))
+    rows = docs.select(packed(docs.select(*keep) if keep else docs).alias("row"), F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), tokens_of(F.col(text_col)).alias("n")).alias("_doc"))
     met = rows.join(small(parts), F.col("_doc.source") == F.col("_plan.source"))
     spot = place_of(mix.seed, F.col("_plan.full"), F.col("_doc.id"))
     key = F.coalesce("_doc.id", F.lit(-(2**63)).cast("long"))
     head = F.coalesce((spot < F.col("_plan.cut_place")) | ((spot == F.col("_plan.cut_place")) & (key <= F.col("_plan.cut_id"))), F.lit(False))
     epochs = F.concat(F.when(F.col("_plan.full") > 0, F.sequence(F.lit(0).cast("long"), F.col("_plan.full") - 1)).otherwise(F.array().cast("array<bigint>")), F.when(head, F.array("_plan.full")).otherwise(F.array().cast("array<bigint>")))
-    out = met.select("_row", "_doc", "_plan", F.explode(epochs).alias("_epoch")).withColumn("_place", place_of(mix.seed, F.col("_epoch"), F.col("_doc.id")))
-    return out.select("_row.*", F.col("_epoch").alias("epoch"), block_of(F.col("_place"), F.col("_plan.blocks")).alias("block"), F.col("_place").alias("place"), F.col("_doc.n").alias("n_tokens"), F.round("_plan.weight", 9).alias("weight"))
+    out = met.select("row", "_doc", "_plan", F.explode(epochs).alias("_epoch")).withColumn("_place", place_of(mix.seed, F.col("_epoch"), F.col("_doc.id")))
+    return out.select("row", F.col("_epoch").alias("epoch"), block_of(F.col("_place"), F.col("_plan.blocks")).alias("block"), F.col("_place").alias("place"), F.col("_doc.n").alias("n_tokens"), F.round("_plan.weight", 9).alias("weight"))
+
+
+def mix_sources(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
+    """One row per document and epoch of the mix: `keep` columns (default id and source), and epoch, block, place, n_tokens, weight.
+
+    Sources get weights share^exponent (see find_exponent) and a budget of tokens each. A budget is met by whole epochs
+    of the source and the head of one more, up to the document that crosses the budget; every epoch has its own
+    permutation, by a digest of seed, epoch and id, in blocks. Ordering a source by (epoch, place) gives the
+    permutation. A document's part in the last epoch is a comparison with the source's cut, so texts are neither
+    shuffled nor sorted.
+
+    Cases: a null source counts as ''; null text = empty text = 0 tokens, which cost nothing and come with an epoch if
+    their place is before its end; a null id comes first among equal places; repeated rows share a place and come or go
+    together; a source without tokens has weight 0 and gives no rows; an empty table gives no rows; a kept column whose
+    name is that of an added one gets a trailing underscore; other columns are ignored, whatever their names.
+    """
+    added = ["epoch", "block", "place", "n_tokens", "weight"]
+    out = mix_rows(docs, mix, id_col, text_col, source_col, keep or [id_col, source_col])
+    named = [F.col("row").getField(c).alias(c + "_" * (c in added)) for c in out.schema["row"].dataType.names]
+    return out.select(*named, *added)
 
 
 def sql(mix: Mix | None = None, table: str = "documents") -> str:
@@ -192,9 +206,10 @@ plan AS (
   SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS full, budget - (CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END) * tokens AS rest, CAST(ceil(docs / {BLOCK}.0) AS BIGINT) AS blocks
   FROM budgets),
 placed AS (SELECT doc_id, own, n, source, weight, "full", rest, blocks, {place('"full"')} AS spot FROM slim JOIN plan USING (source)),
-running AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY spot, coalesce(doc_id, -9223372036854775808)) AS upto FROM placed),
+running AS (
+  SELECT *, sum(n) OVER (PARTITION BY source ORDER BY spot, coalesce(doc_id, -9223372036854775808)) - sum(n) OVER (PARTITION BY source, spot, doc_id) AS before FROM placed),
 epochs AS (
-  SELECT doc_id, own, n, source, weight, blocks, unnest(CASE WHEN upto <= rest THEN range(0, "full" + 1) ELSE range(0, "full") END) AS epoch FROM running),
+  SELECT doc_id, own, n, source, weight, blocks, unnest(CASE WHEN before < rest THEN range(0, "full" + 1) ELSE range(0, "full") END) AS epoch FROM running),
 spots AS (SELECT *, {place("epoch")} AS place FROM epochs)
 SELECT doc_id, own AS source, CAST(epoch AS BIGINT) AS epoch, CAST(floor(CAST(place AS DOUBLE) / {float(_RANGE)!r} * blocks) AS BIGINT) AS block, place, n AS n_tokens, round(weight, 9) AS weight FROM spots
 """
