@@ -50,3 +50,12 @@ def test_drop_copies_keeps_one_row_of_each_text(docs_of):
     kept = sorted(((r.doc_id, re.sub(r"[\x20\x09-\x0D]", "", r.text or "")) for r in found.collect()), key=str)
     assert kept == sorted({(d, re.sub(r"[\x20\x09-\x0D]", "", t or "")) for (d, t), b in [((d, t), b) for d, t in CASES for b in brute(CASES) if b[0] == d and b[3] and b[4] == hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", t or "").encode()).hexdigest()]}, key=str)
     assert len({t for _, t in kept}) == len(kept) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in CASES})
+
+
+def test_drop_copies_keeps_columns_of_any_name(docs_of):
+    df = docs_of(CASES).selectExpr("*", "'keepme' as _id", "'me too' as _sha", "3 as id", "4 as `row`", "5 as sha", "6 as `a.b`")
+    found = drop_copies(df)
+    assert found.columns == df.columns
+    assert {(r["_id"], r["_sha"], r["id"], r["row"], r["sha"], r["a.b"]) for r in found.collect()} == {("keepme", "me too", 3, 4, 5, 6)}
+    assert found.count() == drop_copies(docs_of(CASES)).count()
+    assert drop_copies(docs_of([])).collect() == []

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.session import cut
+from textloom.session import cut, packed
 
 BLANKS = r"[\x20\x09-\x0D]+"
 SALTS = 64
@@ -71,14 +71,19 @@ def exact_dedup(
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows that exact_dedup() keeps, with all their columns: one row for each group of equal texts."""
+    """The rows that exact_dedup() keeps, with all their columns: one row for each group of equal texts.
+
+    Cases: null, empty and blank texts are one group, of which one row stays; ties on length go to the smallest id, a
+    null id comes last; of repeated rows (same id, equal text) any one stays; an empty table gives no rows; columns may
+    have any name.
+    """
     winners = exact_dedup(docs, id_col, text_col, salts).where("kept")
     known, unnamed = F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull()
-    winners = winners.select(known.alias("_id"), unnamed.alias("_none"), F.col("text_sha256").alias("_sha")).distinct()
+    winners = winners.select(known.alias("id"), unnamed.alias("none"), F.col("text_sha256").alias("sha")).distinct()
     own = F.col(id_col).cast("long")
-    keyed = docs.withColumns({"_id": F.coalesce(own, F.lit(0)), "_none": own.isNull(), "_sha": F.sha2(normalised(F.col(text_col)), 256)})
+    keyed = docs.select(packed(docs).alias("row"), F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("none"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
     # repeated rows meet in the same place, so that dropping them needs no shuffle of its own
-    return keyed.join(winners, ["_id", "_none", "_sha"], "left_semi").dropDuplicates(["_id", "_none", "_sha"]).select(*docs.columns)
+    return keyed.join(winners, ["id", "none", "sha"], "left_semi").dropDuplicates(["id", "none", "sha"]).select("row.*")
 
 
 SQL = r"""
