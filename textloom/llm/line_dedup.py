@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.hot import meet
 from textloom.session import cut
 
 RATIO = 0.2  # a line on more than this share of its host's pages is boilerplate
 BROADCAST_BYTES = 16 << 20  # of all hosts' lists, up to which they are broadcast
-SALTS = 32
-LEAST_PAGES = 5  # and on this many pages at least
+LEAST_PAGES = 2  # and on this many pages at least: a page alone is no repetition
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -38,8 +38,8 @@ def line_dedup(pages: DataFrame, lines: Column, site: Column, id_col: str = "pag
     hold it. Each page counts a line once (by its MD5 digest); counts are combined before the shuffle, so a line that
     is on all pages of a hot host costs one row per task. Lines below `least_pages` go before the host totals are
     joined. What is left is one short list per host, as its ratios sum to no more than the mean lines of its pages.
-    The lists are broadcast if their summed size allows it; else pages meet them by host and one of SALTS salts, so
-    that a hot host is dealt over as many tasks. Pages filter their lines in place.
+    The lists are broadcast if their summed size allows it; else pages meet them by host, and a hot host is dealt over
+    as many tasks as its pages need (see meet()). Pages filter their lines in place.
 
     Cases: null or empty html: no lines, empty text; null, empty or malformed url: all share the host ''; a null id is
     returned as it is; repeated rows count as pages each; a ratio that equals the limit stays; an empty table gives no
@@ -49,14 +49,15 @@ def line_dedup(pages: DataFrame, lines: Column, site: Column, id_col: str = "pag
     digests = F.array_distinct(F.transform("lines", lambda x: F.unhex(F.md5(x))))
     counts = rows.select("host", F.explode(digests).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     totals = pages.select(site.alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    totals = cut(totals)
     boiler = counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("boiler"))
     boiler = cut(boiler)
     size = boiler.agg(F.sum(F.size("boiler") * 24 + F.length("host") + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         met = rows.join(F.broadcast(boiler), "host", "left")
     else:
-        salted = boiler.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", F.size("lines")), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+        total = totals.agg(F.sum("pages")).first()[0]
+        met = meet(rows, totals.join(boiler, "host", "left"), "host", "pages", total)
     known = F.coalesce("boiler", F.array().cast("array<binary>"))
     stay = F.filter("lines", lambda x: ~F.array_contains(known, F.unhex(F.md5(x))))
     kept = met.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), stay.alias("stay"))
