@@ -24,10 +24,14 @@ TEMPLATES = (
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("agpl", "licensed under the gnu affero general public license version 3"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "licensed under the mit license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
@@ -184,7 +188,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def sql(containment: float = CONTAINMENT) -> str:
-    """DuckDB SQL of license_scan(): every line against every template."""
+    """DuckDB SQL of license_scan(wrapped=True): every line, with the SPAN words after it, against every template."""
     places = " || ".join(
         f"list_transform(list_filter(range(1, greatest(len(words) - {len(p.split()) - 2}, 1)), lambda i: {' AND '.join(f'words[i + {k}] = {w!r}' for k, w in enumerate(p.split()))}), lambda i: {{'at': i - 1, 'label': {label!r}}})"
         for p, label in PHRASES.items()
@@ -195,7 +199,8 @@ WITH t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS words FROM t),
 b AS (SELECT doc_id, t, len(words) AS n_words, CASE WHEN contains(t, 'license') OR contains(t, 'cc') THEN {places} ELSE [] END AS base FROM w),
 templates(label, words, need) AS (VALUES {rows}),
-lines AS (SELECT DISTINCT t, list_distinct(regexp_extract_all(line, '{WORD}')) AS words FROM (SELECT t, unnest(string_split(t, chr(10))) AS line FROM b)),
+worded AS (SELECT DISTINCT t, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_extract_all(x, '{WORD}')), lambda x: len(x) > 0) AS own FROM b),
+lines AS (SELECT DISTINCT t, list_distinct(list_concat(own[i], flatten(own[i + 1:i + {SPAN}])[1:{SPAN}])) AS words FROM (SELECT t, own, unnest(range(1, len(own) + 1)) AS i FROM worded)),
 near AS (SELECT l.t, p.label, len(list_intersect(l.words, p.words)) AS shared, p.need, len(p.words) AS size FROM lines l, templates p WHERE len(l.words) >= p.need),
 found AS (SELECT t, list_distinct(list(label)) AS more, max(shared / size) AS share FROM near WHERE shared >= need GROUP BY t)
 SELECT doc_id, n_words, len(base) AS n_base, list_min(list_transform(base, lambda x: x.at)) AS first_word, list_max(list_transform(base, lambda x: x.at)) AS last_word,
