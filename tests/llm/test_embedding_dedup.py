@@ -50,3 +50,15 @@ def test_empty_table(spark):
 
 def test_tables_grow_slowly():
     assert plan_tables(5000)[1] < plan_tables(10**9)[1] < 1000
+
+
+def test_magnitudes_and_repeated_ids(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i, scale in enumerate([1e200, 1e200, 1e-200, 1e300, 1.0, 5e-320]):
+        v = np.ones(8) + rng.standard_normal(8) * 0.001
+        rows.append((i, [float(x) for x in v * scale], 1))
+    rows += [(0, [float(x) for x in rng.standard_normal(8)], 1), (0, [1.0] * 8, 2), (9, [2.0] * 8, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = sorted(map(tuple, embedding_dedup(df).collect()))
+    assert found == sorted([(i, 5, 0, i == 0) for i in range(6)] + [(0, 0, 0, True), (0, 1, 0, True), (9, 1, 0, False)])

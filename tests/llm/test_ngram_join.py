@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from textloom.llm.components import components
-from textloom.llm.ngram_join import Comparer, band_keys, least_matches, minhash, ngram_join, shingles
+from textloom.llm.ngram_join import Comparer, band_keys, drop_near_copies, least_matches, minhash, ngram_join, shingles
 
 
 def sets_of(rows):
@@ -91,3 +91,68 @@ def test_components_of_long_paths(spark):
                 root[u] = root[v] = min(root[u], root[v])
     assert all(found.get(n, n) == r for n, r in root.items())
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def repeated_ids(corpus):
+    """Ids that stand for different texts, some of them in classes of other ids."""
+    rows = [(d, t) for d, t in corpus if d is not None]
+    return [*rows, (0, rows[200][1]), (0, rows[201][1] + " and more"), (7, "a text of its own with more than five words"), (8, rows[3][1]), (8, rows[3][1]), (None, rows[3][1])]
+
+
+def test_an_id_of_several_texts(docs_of, corpus):
+    rows = repeated_ids(corpus)
+    sets = [s for _, s in sets_of(rows)]
+    found = Counter((r.doc_id, r.set_id, r.class_id, r.n_links) for r in ngram_join(docs_of(rows)).collect())
+    use = [i for i, (d, _) in enumerate(rows) if d is not None and sets[i]]
+    near = {i: [j for j in use if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])] for i in use}
+    want = Counter()
+    for i, (d, _) in enumerate(rows):
+        if i not in near:
+            want[d, d, d, 0] += 1
+            continue
+        reach, todo = set(), [i]
+        while todo:
+            j = todo.pop()
+            if j not in reach:
+                reach.add(j)
+                todo += near[j]
+        want[d, min(rows[j][0] for j in use if sets[j] == sets[i]), min(rows[j][0] for j in reach), len(near[i]) - 1] += 1
+    assert found == want
+
+
+def test_one_row_of_each_class_stays(spark, docs_of, corpus):
+    rows = repeated_ids(corpus)
+    df = docs_of(rows).selectExpr("*", "doc_id as _id", "1 as `class_id`", "'x' as `row`", "2 as `a.b`")
+    found = drop_near_copies(df)
+    assert found.columns == df.columns
+    got = [(r.doc_id, r.text) for r in found.collect()]
+    assert all(r["_id"] == r.doc_id and r["row"] == "x" and r["a.b"] == 2 for r in found.collect())
+    assert len(got) == len(set(got)) and set(got) <= set(rows)
+    sets = dict(zip(rows, (s for _, s in sets_of(rows)), strict=True))
+    same = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    root = {r: r for r in set(rows) if r[0] is not None and sets[r]}
+    for a in root:
+        for b in root:
+            if same(a, b):
+                x, y = a, b
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                root[max(x, y)] = min(x, y)
+
+    def top(r):
+        while root[r] != r:
+            r = root[r]
+        return r
+
+    kept = [r for r in got if r in root]
+    assert sorted(top(r) for r in kept) == sorted({top(r) for r in root})
+    assert all(r[0] == top(r)[0] for r in kept)
+    assert sorted((r for r in got if r not in root), key=str) == sorted({r for r in rows if r[0] is None or not sets[r]}, key=str)
+    assert drop_near_copies(docs_of([])).collect() == []
+
+
+def test_blocks_bounded_by_grams(docs_of, corpus, monkeypatch):
+    monkeypatch.setattr("textloom.llm.ngram_join.GRAMS", 2000)
+    assert sorted(map(tuple, ngram_join(docs_of(corpus)).collect()), key=str) == brute(corpus)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.hot import meet
 from textloom.session import cut
 
 
@@ -12,18 +13,19 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every node of `edges`; component is the smallest node reachable.
 
     Alternates large-star and small-star (Kiveris et al., 2014): every round re-hangs neighbours below the smallest
-    one it knows, so the rounds grow with the logarithm of the longest path. Only two numbers per round reach the
-    driver. Null ends and self loops are ignored; an empty input gives an empty output.
+    one it knows, so the rounds grow with the logarithm of the longest path. A node of many edges is dealt over tasks
+    by meet(). Only two numbers per round reach the driver. Null ends and self loops are ignored; an empty input gives
+    an empty output.
     """
     pairs = edges.select(F.greatest(F.col(u), F.col(v)).alias("a"), F.least(F.col(u), F.col(v)).alias("b"), F.col(u).alias("_u"), F.col(v).alias("_v"))
     current = cut(pairs.where("_u is not null and _v is not null and a <> b").select("a", "b").distinct())
     mark = _mark(current)
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = meet(both, low, "a", "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = meet(large, least, "a", "n", 2 * mark[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         after = _mark(current)
         if after == mark:
@@ -39,23 +41,22 @@ def _mark(pairs: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def block_pairs(members: DataFrame, block: int) -> DataFrame:
-    """Plans all-pairs work inside components in tasks of at most about two blocks of `block` members.
+def deal(members: DataFrame, block: int, weight: str, most: int) -> DataFrame:
+    """Adds n_blocks and own_block: the blocks into which a member's component is dealt, and which of them it is in.
 
-    `members` has (node, component) and may have more columns. Adds bi <= bj, the pair of blocks that a task compares,
-    and side (0: row of block bi, 1: of block bj). A component of n members is dealt into ceil(n / block) blocks and
-    every member is sent to as many tasks; small components stay whole. The sizes come from a count that is combined
-    before the shuffle, so a hot component never meets in one task.
+    `members` has (node, component) and no payload yet. A component has as many blocks as keep each at about `block`
+    members and `most` of the summed column `weight`, so that a task's memory is bounded by both. The sizes come from an
+    aggregate that is combined before the shuffle, and a hot component's rows meet them by meet().
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("_n"))
-    blocks = F.ceil(F.col("_n") / F.lit(float(block))).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("_k").cast("long")).cast("int")
-    dealt = members.join(sizes, "component").withColumn("_k", blocks).withColumn("_b", mine)
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    return dealt.select(
-        *members.columns,
-        F.least("_b", "_o").alias("bi"),
-        F.greatest("_b", "_o").alias("bj"),
-        (F.col("_b") > F.col("_o")).cast("int").alias("side"),
-        F.col("_k").alias("n_blocks"),
-    )
+    sizes = cut(members.groupBy("component").agg(F.count("*").alias("_n"), F.sum(weight).alias("_w")))
+    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    blocks = F.greatest(F.ceil(F.col("_n") / F.lit(float(block))), F.ceil(F.col("_w") / F.lit(float(most))), F.lit(1)).cast("int")
+    met = meet(members, sizes.select("component", "_n", blocks.alias("n_blocks")), "component", "_n", total)
+    return met.withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("n_blocks").cast("long")).cast("int"))
+
+
+def block_pairs(dealt: DataFrame) -> DataFrame:
+    """One row for each pair of blocks that compares a member: bi <= bj, and side (0: row of block bi, 1: of block bj)."""
+    sent = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rest: list[Column | str] = [c for c in dealt.columns if c != "own_block"]
+    return sent.select(*rest, F.least("own_block", "_o").alias("bi"), F.greatest("own_block", "_o").alias("bj"), (F.col("own_block") > F.col("_o")).cast("int").alias("side"))

@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.blocks import linked, star_edges
-from textloom.llm.components import components
-from textloom.llm.ragged import lists, mix
+from textloom.llm.blocks import classed, linked, numbered, star_edges
+from textloom.llm.components import components, deal
+from textloom.llm.ragged import lists, mix, released
+from textloom.session import cut
 
 THRESHOLD = 0.98
 MISS = 1e-6
-BLOCK = 4096
+BLOCK = 4096  # vectors of a block
+NUMBERS = 4_000_000  # and their components: 32 MB
 
 
 def plan_tables(rows: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
@@ -32,6 +34,7 @@ def cosine_links(left: list, right: list, threshold: float = THRESHOLD) -> np.nd
     sides = []
     for side in (left, right):
         x = np.stack(side)
+        x = x / np.abs(x).max(axis=1)[:, None]  # the squares of large or small components leave the range of doubles
         sides.append(x / np.sqrt((x * x).sum(axis=1))[:, None])
     near = np.zeros((len(left), len(right)), dtype=bool)
     for i in range(0, len(left), 512):
@@ -49,20 +52,22 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     Vectors of one label (and one length) link when their cosine is at least `threshold`. n_links counts the other rows
     linked directly, component_id is the smallest id reachable by links, kept = (vec_id = component_id).
 
-    Equal vectors collapse first. Each vector gets a bucket per table from the signs of its products with random
-    hyperplanes; vectors of a bucket hang below its smallest id, and the connected components of these edges are the
-    candidates. Inside a component every pair is compared in double precision, in blocks; tasks emit counts, not pairs.
+    Equal vectors collapse first, and each set of them gets a number of its own. Each vector gets a bucket per table
+    from the signs of its products with random hyperplanes; vectors of a bucket hang below its smallest number, and the
+    connected components of these edges are the candidates. Inside a component every pair is compared in double
+    precision, in blocks; tasks emit counts, not pairs.
 
     Cases: a null label, or a vector that is null, empty, zero or has a null or non-finite component: no links, its own
-    component; a null id: likewise, with component_id null; repeated rows are separate rows; ties need no order; an
-    empty table gives no rows; other columns are ignored, whatever their names.
+    component; a null id: likewise, with component_id null; repeated rows are separate rows; an id that stands for
+    different vectors has the links of each in its row; ties need no order; numbers may be of any magnitude; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("sound", sound)
     good = rows.where("sound")
-    sets = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult"))
+    sets = numbered(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("set_id"), F.count("*").alias("mult")))
     most = good.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     bits, tables = plan_tables(most, threshold)
 
@@ -87,13 +92,13 @@ def embedding_dedup(vectors: DataFrame, threshold: float = THRESHOLD, block: int
                     keys[part] = mix(packed ^ mix(np.arange(tables, dtype=np.uint64) + np.uint64(dim) * np.uint64(65536))[None, :] ^ mix(salts[part])[:, None])
             yield pa.RecordBatch.from_arrays([batch.column(0), lists(keys.reshape(-1).view(np.int64), np.full(batch.num_rows, tables), pa.int64())], ["node", "keys"])
 
-    keyed = sets.select("node", F.xxhash64("label").alias("salt"), "embedding").mapInArrow(place, "node long, keys array<long>")
-    candidates = components(star_edges(keyed))
-    members = sets.select("node", "mult", "label", "embedding").join(candidates, "node")
+    keyed = sets.select("node", F.xxhash64("label").alias("salt"), "embedding").mapInArrow(released(place), "node long, keys array<long>")
+    members = sets.select("node", "mult", "label", F.size("embedding").alias("size")).join(components(star_edges(keyed)), "node")
     # a bucket holds one label and one length but for collisions of 64-bit hashes; the split by both makes it certain
-    members = members.select("node", "mult", "embedding", F.xxhash64("component", "label", F.size("embedding")).alias("component"))
-    found = linked(members, _load, lambda a, b: cosine_links(a, b, threshold), block)
-    classes = sets.join(found, "node", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    members = cut(members.select("node", "mult", "size", F.xxhash64("component", "label", "size").alias("component")))
+    vectors_of = deal(members, block, "size", NUMBERS).join(sets.select("node", "embedding"), "node")
+    found = linked(vectors_of, _load, lambda a, b: cosine_links(a, b, threshold))
+    classes = classed(sets, found, "set_id").select("label", "embedding", F.col("links").alias("n_links"), F.col("class_id").alias("component_id"))
     done = good.join(classes, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))

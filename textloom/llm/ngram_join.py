@@ -9,13 +9,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.blocks import linked, star_edges
-from textloom.llm.components import components
-from textloom.llm.ragged import WordHash, lists, mix
-from textloom.session import cut
+from textloom.llm.blocks import classed, linked, numbered, star_edges
+from textloom.llm.components import components, deal
+from textloom.llm.ragged import WordHash, lists, mix, portions, released
+from textloom.session import cut, packed
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 GRAM = 5
@@ -24,7 +24,8 @@ BANDS, ROWS = 40, 5  # a pair at 0.8 shares no band with probability (1 - 0.8^5)
 HASHES = BANDS * ROWS
 STEP = 40  # MinHash values compared at a time
 TOLERANCE = 1e-9
-BLOCK = 4096
+BLOCK = 4096  # sets of a block
+GRAMS = 4_000_000  # and their grams: 32 MB of hashes
 _words = WordHash()
 
 
@@ -146,26 +147,50 @@ class Comparer:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to (doc_id, key, text) the digest, the size and the band keys of the text's set, about a million characters at a time."""
     for batch in batches:
-        digests, keys = [], []
-        for text in batch.column(1):
-            grams = shingles(text.as_py())
-            digests.append(digest(grams) if len(grams) else None)
-            keys.append(band_keys(minhash(grams)) if len(grams) else np.zeros(0, np.int64))
-        _words.trim()
-        flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), lists(flat, np.array([len(k) for k in keys], dtype=np.int64), pa.int64())], ["doc_id", "digest", "keys"])
-    _words.clear()  # the worker may live on for other stages
+        done = 0
+        for part in portions(batch.column(2)):
+            digests, sizes, keys = [], [], []
+            for text in part:
+                grams = shingles(text)
+                digests.append(digest(grams) if len(grams) else None)
+                sizes.append(len(grams))
+                keys.append(band_keys(minhash(grams)) if len(grams) else np.zeros(0, np.int64))
+            _words.trim()
+            flat = lists(np.concatenate(keys), np.array([len(k) for k in keys], dtype=np.int64), pa.int64())
+            own = batch.slice(done, len(part))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), flat], ["doc_id", "key", "digest", "size", "keys"])
+            done += len(part)
 
 
 def _load(columns: dict, i: int) -> tuple[np.ndarray, np.ndarray] | None:
     """The grams and MinHash values of a row; None if it isn't the row that its digest was made of (a repeated id)."""
     grams = shingles(columns["text"][i].as_py())
-    if i == 0:
-        _words.trim()
+    _words.trim()
     return (grams, minhash(grams)) if len(grams) and digest(grams) == columns["digest"][i].as_py() else None
 
 
+def _classes(docs: DataFrame, threshold: float, block: int, id_col: str, text_col: str, key: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows with a set: doc_id, key, set_id, class_id, links, component; and doc_id and key of the rows without an id or a word.
+
+    `key` may tell rows of one id apart; it is carried along. A component is a class, and unlike its class_id never
+    stands for two.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).alias("text"))
+    sketched = cut(rows.mapInArrow(released(_sketch, _words.clear), "doc_id long, key binary, digest binary, size long, keys array<long>"))
+    usable = sketched.where("doc_id is not null and digest is not null")
+    sets = numbered(usable.groupBy("digest").agg(F.min("doc_id").alias("set_id"), F.count("*").alias("mult"), F.first("size").alias("size")))
+    ends = sets.join(usable.select("digest", F.col("doc_id").alias("set_id"), "keys"), ["digest", "set_id"]).select("node", "keys")
+    members = cut(sets.join(components(star_edges(ends)), "node"))
+    dealt = deal(members, block, "size", GRAMS)
+    texts = dealt.join(rows.select(F.col("doc_id").alias("set_id"), "text"), "set_id")
+    found = linked(texts, _load, Comparer(threshold), _words.clear)
+    classes = classed(sets, found, "set_id").select("digest", "set_id", "class_id", "links", "component")
+    out = sketched.select("doc_id", "key", "digest").where("doc_id is not null and digest is not null").join(classes, "digest").drop("digest")
+    return out, sketched.where("doc_id is null or digest is null").select("doc_id", "key")
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, set_id, class_id, n_links, kept.
 
@@ -173,40 +198,43 @@ def ngram_join(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK
     Jaccard similarity of at least `threshold`. set_id is the smallest id with the same set, n_links the number of other
     rows linked directly, class_id the smallest id reachable by links, kept = (doc_id = class_id).
 
-    1. Rows become MinHash bands and a digest of their set; equal sets collapse before anything is compared.
-    2. Sets that share a band hang below the smallest id of the bucket: linear in the rows for any bucket size.
+    1. Rows become MinHash bands and a digest of their set; equal sets collapse before anything is compared, and each
+       set gets a number of its own, so that an id which stands for several texts joins nothing.
+    2. Sets that share a band hang below the smallest number of the bucket: linear in the rows for any bucket size.
        Connected components of these edges hold every candidate pair.
-    3. Each component goes to a task (large ones to a task for each pair of blocks) with its texts, where pairs are
-       dropped by size, then by MinHash values compared STEP at a time while the posterior probability of reaching the
-       threshold is at least TOLERANCE, and the rest is verified exactly on the sets. Tasks emit counts, not pairs.
+    3. Each component goes to a task (a large one, by its sets or their grams, to a task for each pair of blocks) with
+       its texts, where pairs are dropped by size, then by MinHash values compared STEP at a time while the posterior
+       probability of reaching the threshold is at least TOLERANCE, and the rest is verified exactly on the sets.
+       Tasks emit counts, not pairs.
 
     Sets are compared by 64-bit hashes of their grams. A pair at the threshold goes unseen with probability 1e-7.
 
     Cases: null or empty text, or text without a word: no links, a class of its own; a null id: never compared, null
     set_id and class_id, kept; repeated rows count as separate rows of the same set; an id that stands for different
-    texts has the links of one of them; equal similarities need no order; an empty table gives no rows; other columns
-    are ignored, whatever their names.
+    texts has a row for each, with the links and the class of that text; equal similarities need no order; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = cut(rows.mapInArrow(_sketch, "doc_id long, digest binary, keys array<long>"))
-    usable = sketched.where("doc_id is not null and digest is not null")
-    sets = usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("mult"))
-    ends = sets.join(usable.select("digest", F.col("doc_id").alias("node"), "keys"), ["digest", "node"]).select("node", "keys")
-    candidates = components(star_edges(ends))
-    members = sets.join(candidates, "node").select("node", "component", "mult", "digest")
-    texts = members.join(rows.select(F.col("doc_id").alias("node"), "text"), "node")
-    found = linked(texts, _load, Comparer(threshold), block)
-    classes = sets.join(found, "node", "left").select("digest", F.col("node").alias("set_id"), (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("class_id"))
-    out = sketched.select("doc_id", "digest").where("doc_id is not null and digest is not null").join(classes, "digest")
-    done = out.select("doc_id", "set_id", "class_id", "n_links", (F.col("doc_id") == F.col("class_id")).alias("kept"))
-    alone = sketched.where("doc_id is null or digest is null").select("doc_id", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
-    return done.union(alone)
+    linked_rows, alone = _classes(docs, threshold, block, id_col, text_col, F.lit(None).cast("binary"))
+    done = linked_rows.select("doc_id", "set_id", "class_id", F.col("links").alias("n_links"), (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    return done.union(alone.select("doc_id", F.col("doc_id").alias("set_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept")))
 
 
 def drop_near_copies(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ngram_join() keeps, with all their columns: one document of each class."""
-    kept = ngram_join(docs, threshold, block, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    """One row of each class of ngram_join(), with all its columns: the one with the smallest id.
+
+    Cases: rows without an id are kept, all of them; texts without a word (null and empty ones among them) are classes
+    of their own; of rows with the same id and text one stays; of an id that stands for different texts, one row of each
+    class whose smallest id it is; equal ids in a class go to the smaller digest of the text; an empty table gives no
+    rows; columns may have any name.
+    """
+    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    found, alone = _classes(docs, threshold, block, id_col, text_col, key)
+    first = found.where("doc_id = class_id").groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*")
+    winners = first.union(alone.where("doc_id is not null").distinct())
+    keyed = docs.select(packed(docs).alias("row"), F.col(id_col).cast("long").alias("doc_id"), key.alias("key"))
+    # repeated rows meet in the same place, so that dropping them needs no shuffle of its own
+    stay = keyed.join(winners, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    return stay.select("row").union(keyed.where("doc_id is null").select("row")).select("row.*")
 
 
 SQL = r"""
