@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from textloom.functions import text as T
 from textloom.operators import aggregates as A
 from textloom.operators import cooccurrence as C
-from textloom.operators import ensemble, match, sampling
+from textloom.operators import ensemble, match, replies, sampling
 from textloom.operators import similarity as V
 from textloom.operators import statistics as S
 from textloom.operators import tables as J
@@ -711,6 +711,69 @@ def cached_values(spark, sf):
     return cache.load()
 
 
+@query(f"SELECT text, length(text) AS char_count FROM documents WHERE length(text) BETWEEN 1 AND 250 AND ({' OR '.join(f"contains(text, '{k}')" for k in KEYWORDS)})")
+def filtered_texts(spark, sf):
+    return readers.filtered_corpus(docs(spark, sf), KEYWORDS)
+
+
+@query("SELECT 'documents' AS dataset, 'xx' AS lang, text AS content FROM documents UNION ALL SELECT 'benchmark', 'en', text FROM benchmark")
+def registry_rows(spark, sf):
+    entries = [("documents", "xx"), ("benchmark", "en")]
+    return readers.read_registry(spark, [{"name": name, "path": f"{sf}/{name}.parquet", "column": "text", "lang": lang} for name, lang in entries])
+
+
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->', ' ', 'g'), '<[A-Za-z!/?][^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g')) AS visible FROM pages".replace('\\"', '"'))
+def page_texts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", readers.page_text("html").alias("visible"))
+
+
+_WORD1 = f"split_part({SQUEEZE.format('text')}, ' ', 1)"
+_EDGE = "[\\s.,;:!?、。，；：！？「」『』（）()\\[\\]【】…]+"
+
+
+@query(f"WITH w AS (SELECT doc_id, trim(regexp_replace(regexp_replace({_WORD1}, '^{_EDGE}', ''), '{_EDGE}$', '')) AS bare FROM documents) SELECT doc_id, CASE WHEN length(bare) BETWEEN 2 AND 40 AND lower(bare) NOT IN ('the', 'les') THEN bare END AS entity FROM w")
+def clean_entities(spark, sf):
+    word = F.split_part(T.normalise("text"), F.lit(" "), F.lit(1))
+    return docs(spark, sf).select("doc_id", match.clean_entity(word, "lang", ["the"], ["Les"]).alias("entity"))
+
+
+@query(f"SELECT doc_id, regexp_replace(lower({_WORD1}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]+', '', 'g') AS form FROM documents")
+def fingerprints(spark, sf):
+    return docs(spark, sf).select("doc_id", T.fingerprint(F.split_part(T.normalise("text"), F.lit(" "), F.lit(1)), "lang").alias("form"))
+
+
+@query("SELECT doc_id, source || lang || ',zz' AS kept FROM documents")
+def distinct_entities(spark, sf):
+    entity = lambda text: F.struct(text.alias("text"), F.lit("NAME").alias("label"), F.lit("ner").alias("source"))
+    found = F.array(entity(F.col("source")), entity(F.col("lang")), entity(F.concat("source", "lang")), entity(F.upper("source")), entity(F.lit("zz")))
+    return docs(spark, sf).select("doc_id", F.array_join(F.transform(match.dedup_entities(found), lambda e: e["text"]), ",").alias("kept"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN lang END AS first, CASE WHEN doc_id % 5 > 0 THEN source END AS second, CASE WHEN doc_id % 3 > 0 THEN source || '/' || lang ELSE '' END AS entities FROM documents")
+def reply_values(spark, sf):
+    rows = docs(spark, sf)
+    answer = F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit('Sure:\n```json\n{"1": "'), "lang", F.lit('",\n "2": "'), "source", F.lit('"}\n```'))).otherwise(F.lit("{broken"))
+    listed = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit('Found [{"text": " '), "source", F.lit(' ", "category": "'), "lang", F.lit('"}, {"category": "X"}].'))).otherwise(F.lit("nothing"))
+    said = rows.select("doc_id", replies.reply_map(answer).alias("m"), replies.reply_entities(listed).alias("e"))
+    return said.select("doc_id", F.element_at("m", F.lit("1")).alias("first"), F.element_at("m", F.lit("2")).alias("second"), F.array_join(F.transform("e", lambda x: F.concat_ws("/", x["text"], x["label"])), ",").alias("entities"))
+
+
+@query("WITH n AS (SELECT lang, count(*) AS n, 1.96 * 1.96 * 0.25 / (0.03 * 0.03) AS n0 FROM documents GROUP BY lang) SELECT lang, n AS rows, least(CAST(ceil(CAST(n0 AS DOUBLE) / (1 + (CAST(n0 AS DOUBLE) - 1) / n)) AS BIGINT), n) AS needed FROM n")
+def annotation_sizes(spark, sf):
+    counts = A.value_counts(docs(spark, sf), "lang").collect()  # a row per language
+    return spark.createDataFrame([(r["lang"], r["count"], S.sample_size(r["count"])) for r in counts], "lang string, rows long, needed long")
+
+
+@query("SELECT conv_id, turn, CASE WHEN lower(trim(role)) IN ('user') THEN 1 ELSE 0 END AS label, turn / 10.0 AS prob FROM conversations")
+def vote_rules(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", S.vote_rule("role", F.col("turn") / 10.0, ["User"]).alias("v")).select("conv_id", "turn", "v.label", "v.prob")
+
+
+@query(f"SELECT round_even(avg(f1), 6) AS mean, round_even(stddev_pop(f1), 6) AS sd, count(f1) AS folds FROM ({SQL['confusion_f1']})")
+def fold_f1(spark, sf):
+    return S.fold_summary(confusion_f1(spark, sf), "f1")
+
+
 # -- layers and streams -----------------------------------------------------------------------------------------------
 
 GAZETTEER = [("the", "article"), ("erthe", "noun"), ("que", "particle"), ("und", "particle")]
@@ -750,6 +813,44 @@ def stream_first_seen(spark, sf):
     return spark.read.parquet(f"{folder}/out").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
+def _stream(spark, sf, name):
+    """A table as a stream, and a folder for its sink and state that all machines share."""
+    schema = table(spark, sf, name).schema
+    path = f"{sf}/{name}.parquet" + ("" if sf.startswith("viewfs") else "*")
+    return spark.readStream.schema(schema).parquet(path), f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT doc_id, length(text) AS char_count FROM documents WHERE length(text) BETWEEN 1 AND 250 AND ({' OR '.join(f"contains(text, '{k}')" for k in KEYWORDS)})")
+def stream_filtered(spark, sf):
+    stream, folder = _stream(spark, sf, "documents")
+    incremental.append_to(incremental.filtered(stream, KEYWORDS), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("doc_id", "char_count")
+
+
+@query("SELECT lang, least(count(*), 20) AS rows FROM documents GROUP BY lang")
+def stream_quota(spark, sf):
+    stream, folder = _stream(spark, sf, "documents")
+    incremental.append_until(stream.select("doc_id", "lang"), f"{folder}/out", f"{folder}/state", 20, "lang").awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out").groupBy("lang").agg(F.count("*").alias("rows"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN -1 ELSE n_chars % 2 END AS label FROM documents")
+def stream_labels(spark, sf):
+    """Documents that have a label already (a fourth of them) are not labelled again."""
+    stream, folder = _stream(spark, sf, "documents")
+    table(spark, sf, "documents").where("doc_id % 4 = 0").select("doc_id", F.lit(-1).cast("long").alias("label")).write.parquet(f"{folder}/out")
+    label = lambda todo: todo.select("doc_id", (F.col("n_chars") % 2).cast("long").alias("label"))
+    incremental.append_labels(stream.select("doc_id", "n_chars"), label, f"{folder}/out", f"{folder}/state", "doc_id").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0")
+def unfinished_keys(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id")
+    progress = rows.where("doc_id % 3 < 2").select("doc_id", F.explode(F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("a")))).alias("path"))
+    return incremental.unfinished(rows, progress, "doc_id", 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
