@@ -1,0 +1,83 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from textloom.llm.phrases import Codes, _coded, _filter, _seed, collocations, grow, windows
+
+SCHEMA = "doc_id long, text string, lang string, rank int, phrase string, n int"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def brute(rows, words=3, least=10, top=2000):
+    counts, out = {}, []
+    for text, lang in rows:
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", (text or "").translate(LOWER)):
+            ws = re.findall("[^ \t]+", piece)
+            for m in range(1, words + 1):
+                counts.setdefault(lang or "und" if lang is None else lang, Counter()).update(tuple(ws[i : i + m]) for i in range(len(ws) - m + 1))
+    for lang, f in counts.items():
+        n = sum(v for p, v in f.items() if len(p) == 1)
+        phrases = {p: a for p, a in f.items() if len(p) > 1 and a >= least}
+        inside = Counter()
+        for p, a in phrases.items():
+            for m in range(2, len(p)):
+                for i in range(len(p) - m + 1):
+                    inside[p[i : i + m]] = max(inside[p[i : i + m]], a)
+        found = []
+        for p, a in phrases.items():
+            if 100 * inside[p] < 50 * a:
+                score, _, left, right = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n, -s) for i, (s, a, p, left, right) in enumerate(sorted(found)[:top])]
+    return sorted(out)
+
+
+def corpus():
+    rng = random.Random(8)
+    vocab = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 3))) for _ in range(60)] + ["The", "É", " ", "x\x1fy", "日本", "'"]
+    stock = [[rng.choice(vocab) for _ in range(rng.randint(2, 5))] for _ in range(12)]
+    rows = []
+    for i in range(300):
+        words = []
+        while len(words) < rng.randint(0, 60):
+            words += rng.choice(stock) if rng.random() < 0.4 else [rng.choice(vocab), "the"] if rng.random() < 0.4 else [rng.choice(vocab)]
+            words[-1] += rng.choice(["", "", "", "", ".", ",", ";", "!", "?", ":", "\n", "\r", "\x0b", "\x0c"])
+        rows.append((rng.choice([" ", " ", "  ", "\t"]).join(words), rng.choice(["en", "en", "de", None, "und", ""])))
+    return rows + [("", "en"), (None, "en"), (None, None), (" \t ", "de"), ("...", "fr"), ("a b " * 5000, "en"), ("z" * 100_000, "en")] + rows[:5]
+
+
+@pytest.mark.parametrize(("words", "least", "top", "bucket"), [(3, 10, 2000, 500_000), (3, 3, 20, 50), (2, 5, 2000, 1000), (5, 4, 2000, 300)])
+def test_against_brute_force(spark, words, least, top, bucket):
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, lang, 1, "p", 2) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    assert sorted(map(tuple, collocations(df, words, least, top, bucket=bucket).collect())) == brute(rows, words, least, top)
+
+
+def test_empty_table(spark):
+    assert collocations(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert collocations(spark.createDataFrame([(1, None, None, 1, "p", 2)], SCHEMA)).collect() == []
+
+
+def test_codes_are_the_same_in_both_worlds(spark):
+    words = [("en", "a"), ("en", "é"), ("", "日本"), ("de", "a")]
+    coded = _coded(spark.createDataFrame(words, "lang string, word string"))
+    bits = _filter(coded, 4)
+    for r in coded.collect():
+        codes = Codes(_seed(r.salt, r.lang), bits)
+        assert np.uint64(codes[r.word.encode()]).view(np.int64) == r.code
+        assert codes[b"absent"] == 0
+        assert codes[b"."] == 0
+
+
+def test_windows_and_growth():
+    codes = np.array([1, 2, 3, 0, 1, 2, 0, 0, 3, 1, 2, 3], dtype=np.uint64)
+    rows, counts = windows(codes, 3)
+    assert {tuple(map(int, r)): int(c) for r, c in zip(rows, counts, strict=True)} == {(1, 2, 3): 2, (2, 3, 0): 2, (1, 2, 0): 1, (3, 1, 2): 1}
+    none = np.zeros(0, dtype=np.uint64)
+    assert dict(zip(*grow(rows, counts, none, 2), strict=True)) == {(1, 2): 3, (1, 2, 3): 2, (2, 3): 2}
+    assert dict(zip(*grow(rows, counts, np.array([1, 3], dtype=np.uint64), 2), strict=True)) == {(1, 2): 3, (1, 2, 3): 2, (2, 3): 2, (3, 1): 1}
+    assert windows(none, 3)[0].shape == (0, 3)
+    assert grow(*windows(none, 3), none, 2) == ([], [])
