@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions.vectors import cosine, dot, mean_vector, minus, norm, squared_distance, sum_vector, unit
 from textloom.operators.aggregates import r6
+from textloom.operators.neighbours import BLOCK, nearest, vectors_of
 from textloom.operators.tables import small
 
 
@@ -25,51 +25,17 @@ def dim_of(df: DataFrame, vector: str) -> int:
     return row[0] if row else 0
 
 
-def top_k_cosine(seeds: DataFrame, pool: DataFrame, k: int, seed_id: str, pool_id: str, vector: str = "embedding", seed_vector: str | None = None, block: int = 4096) -> DataFrame:
-    """(seed_id, pool_id, cosine, place): the k most similar pool rows of each seed, ties by pool id.
+def top_k_cosine(seeds: DataFrame, pool: DataFrame, k: int, seed_id: str, pool_id: str, vector: str = "embedding", seed_vector: str | None = None, block: int = BLOCK) -> DataFrame:
+    """(seed, pool, cosine, place): the k most similar pool rows of each seed, ties by pool id; see nearest().
 
-    Seeds are taken in blocks that fit a task; a task multiplies its pool rows with a block and keeps k per seed, so
-    k rows per seed and task are shuffled, not all pairs. A set of seeds of any size is dealt over blocks.
+    Seeds of one id are one seed. Rows without an id, or whose vector is null, has holes or another length than the
+    seeds', take no part; the cosine with a zero vector is 0.
     """
     sv = seed_vector or vector
-    queries = seeds.where(F.col(sv).isNotNull()).select(F.col(seed_id).cast("long").alias("seed"), F.col(sv).cast("array<double>").alias("v"))
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == b)
-        pdf = part.toPandas()
-        if not len(pdf):
-            continue
-        shared = seeds.sparkSession.sparkContext.broadcast((pdf["seed"].to_numpy(), _units(np.stack(pdf["v"].to_numpy()))))
-
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, q = shared.value
-            kept = None
-            for batch in batches:
-                rows = batch[batch["v"].notna()]
-                if not len(rows):
-                    continue
-                cos = np.round(_units(np.stack(rows["v"].to_numpy())) @ q.T, 6)  # ranked as it is returned, so that ties are ties in every task
-                own = rows["pool"].to_numpy()
-                order = np.lexsort((np.broadcast_to(own[:, None], cos.shape), -cos), axis=0)[:k] if len(own) else []
-                found = pd.DataFrame({"seed": np.tile(ids, len(order)), "pool": own[order].reshape(-1), "cosine": np.take_along_axis(cos, order, 0).reshape(-1)})
-                kept = found if kept is None else pd.concat([kept, found])
-                kept = kept.sort_values(["seed", "cosine", "pool"], ascending=[True, False, True]).groupby("seed").head(k)
-            if kept is not None:
-                yield kept
-
-        found = pool.select(F.col(pool_id).cast("long").alias("pool"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(best, "seed long, pool long, cosine double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        out = seeds.sparkSession.createDataFrame([], "seed long, pool long, cosine double")
-    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("cosine"), "pool"))
-    return out.withColumn("place", place).where(F.col("place") <= k)
-
-
-def _units(x: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(x, axis=1, keepdims=True)
-    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    dim = dim_of(seeds, sv)
+    queries = vectors_of(seeds, seed_id, sv, dim).dropDuplicates(["id"])
+    found = nearest(queries, vectors_of(pool, pool_id, vector, dim), k, block=block)
+    return found.select("seed", "pool", (-F.col("far")).alias("cosine"), "place")
 
 
 def max_cosine(new: DataFrame, pool: DataFrame, new_id: str, pool_id: str, vector: str = "embedding") -> DataFrame:
