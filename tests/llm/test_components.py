@@ -2,13 +2,14 @@ import random
 
 import pytest
 
-from textloom.llm import hot
 from textloom.llm.blocks import star_edges
-from textloom.llm.components import block_pairs, components, deal
+from textloom.llm.components import block_pairs, deal
+from textloom.operators import graph
+from textloom.operators.graph import components
 
 
 def test_hot_keys_are_dealt_and_nothing_is_lost(spark, monkeypatch):
-    monkeypatch.setattr(hot, "HOT", 4)
+    monkeypatch.setattr(graph, "HOT", 4)
     rng = random.Random(2)
     rows = [(0 if rng.random() < 0.4 else rng.randrange(60), i, "t" * (i % 3)) for i in range(3000)]
     sizes = {}
@@ -16,15 +17,15 @@ def test_hot_keys_are_dealt_and_nothing_is_lost(spark, monkeypatch):
         sizes[k] = sizes.get(k, 0) + 1
     left = spark.createDataFrame([*rows, (None, -1, "null"), (99, -2, "no partner")], "key long, i long, text string")
     known = spark.createDataFrame([(k, n, k * 10) for k, n in sizes.items()], "key long, n long, value long")
-    found = hot.meet(left, known, "key", "n", len(rows))
+    found = graph.meet(left, known, "key", "n", len(rows))
     assert found.columns == ["key", "i", "text", "value"]
     assert sorted(map(tuple, found.collect())) == sorted((k, i, t, k * 10) for k, i, t in rows)
-    assert hot.meet(left.limit(0), known, "key", "n", 0).collect() == []
+    assert graph.meet(left.limit(0), known, "key", "n", 0).collect() == []
 
 
 @pytest.mark.parametrize("least", [3, 256])
 def test_components_with_hot_nodes(spark, monkeypatch, least):
-    monkeypatch.setattr(hot, "HOT", least)
+    monkeypatch.setattr(graph, "HOT", least)
     rng = random.Random(1)
     edges = [(0, i) for i in range(1, 900)] + [(5000 + rng.randrange(300), 5000 + rng.randrange(300)) for _ in range(250)] + [(9000, 9000), (None, 1), (2, None)]
     root = {n: n for e in edges for n in e if n is not None}
@@ -43,7 +44,7 @@ def test_components_with_hot_nodes(spark, monkeypatch, least):
 
 
 def test_stars_of_hot_buckets(spark, monkeypatch):
-    monkeypatch.setattr(hot, "HOT", 3)
+    monkeypatch.setattr(graph, "HOT", 3)
     rows = [(i, [7, 100 + i, 200 + i // 2]) for i in range(100)] + [(500, None), (501, []), (502, [9, 9]), (3, [7])]
     found = {tuple(r) for r in star_edges(spark.createDataFrame([(*r, "x") for r in rows], "node long, keys array<long>, key string")).collect()}
     assert found == {(i, 0) for i in range(1, 100)} | {(i, i - 1) for i in range(1, 100, 2)}

@@ -5,8 +5,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from textloom.llm.components import components
 from textloom.llm.ngram_join import Comparer, band_keys, drop_near_copies, least_matches, minhash, ngram_join, shingles
+from textloom.operators.graph import components
 
 
 def sets_of(rows):

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.components import block_pairs, components
-from textloom.llm.hot import meet
+from textloom.llm.components import block_pairs
 from textloom.llm.ragged import released, runs
+from textloom.operators.graph import components, meet
 from textloom.session import cut
 
 SCHEMA = "node long, links long, root long, n_blocks int"

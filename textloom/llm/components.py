@@ -1,46 +1,14 @@
-"""Distributed connected components and the block plan for all-pairs work inside a component."""
+"""The block plan for all-pairs work inside a component."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.hot import meet
+from textloom.operators.graph import meet
 from textloom.session import cut
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """(node, component) for every node of `edges`; component is the smallest node reachable.
-
-    Alternates large-star and small-star (Kiveris et al., 2014): every round re-hangs neighbours below the smallest
-    one it knows, so the rounds grow with the logarithm of the longest path. A node of many edges is dealt over tasks
-    by meet(). Only two numbers per round reach the driver. Null ends and self loops are ignored; an empty input gives
-    an empty output.
-    """
-    pairs = edges.select(F.greatest(F.col(u), F.col(v)).alias("a"), F.least(F.col(u), F.col(v)).alias("b"), F.col(u).alias("_u"), F.col(v).alias("_v"))
-    current = cut(pairs.where("_u is not null and _v is not null and a <> b").select("a", "b").distinct())
-    mark = _mark(current)
-    while True:
-        both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = meet(both, low, "a", "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = meet(large, least, "a", "n", 2 * mark[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-        after = _mark(current)
-        if after == mark:
-            break
-        mark = after
-    roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
-
-
-def _mark(pairs: DataFrame) -> tuple:
-    """Row count and an order-free checksum of the edge set."""
-    row = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
-
-
 def deal(members: DataFrame, block: int, weight: str, most: int) -> DataFrame:
     """Adds n_blocks and own_block: the blocks into which a member's component is dealt, and which of them it is in.
 

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.blocks import classed, linked, numbered, star_edges
-from textloom.llm.components import components, deal
+from textloom.llm.components import deal
 from textloom.llm.ragged import lists, mix, released
+from textloom.operators.graph import components
 from textloom.session import cut
 
 THRESHOLD = 0.98

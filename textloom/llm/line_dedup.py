@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.hot import meet
+from textloom.operators.graph import meet
 from textloom.session import cut
 
 RATIO = 0.2  # a line on more than this share of its host's pages is boilerplate

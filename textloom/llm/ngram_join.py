@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.blocks import classed, linked, numbered, star_edges
-from textloom.llm.components import components, deal
+from textloom.llm.components import deal
 from textloom.llm.ragged import WordHash, lists, mix, portions, released
+from textloom.operators.graph import components
 from textloom.session import cut, packed
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
