@@ -1,3 +1,4 @@
+import time
 import csv
 import datetime
 import gzip
@@ -67,6 +68,16 @@ def test_pages(spark):
     assert r[1].t == "" and r[1].l == []
 
 
+@pytest.mark.parametrize("start", ["<script>", "<!--", "<div", "<a ", "<title>", "<title", "<a href"])
+def test_pages_of_what_is_never_closed(spark, start):
+    page = "<p>first</p>" + start * (4_000_000 // len(start))
+    began = time.time()
+    df = spark.createDataFrame([(page,)], "html string")
+    found = df.select(readers.page_text("html").alias("text"), readers.page_title("html"), readers.page_links("html")).first()
+    assert found.text.startswith("first")
+    assert time.time() - began < 30
+
+
 def test_configuration(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text("# remark\ninput: a.csv\nstages:\n  who: true\n  how: false\nwho:\n  top_n: 3\nexport:\n  formats: [jsonl, csv]\nratio: 0.5\nname: 'x'\n", encoding="utf-8")

@@ -28,6 +28,12 @@ def meet(rows: DataFrame, known: DataFrame, key: str, size: str, total: int) ->
     return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
+def fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new attributes. A cut keeps what the optimizer has derived of its columns; a loop that swaps
+    and renames columns has it derive more in each round, until planning takes longer than the jobs."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component) for every node of `edges`; component is the smallest node reachable.
 
@@ -36,8 +42,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     by meet(). Only two numbers per round reach the driver. Null ends and self loops are ignored; an empty input gives
     an empty output.
     """
-    pairs = edges.select(F.greatest(F.col(u), F.col(v)).alias("a"), F.least(F.col(u), F.col(v)).alias("b"), F.col(u).alias("_u"), F.col(v).alias("_v"))
-    current = cut(pairs.where("_u is not null and _v is not null and a <> b").select("a", "b").distinct())
+    pairs = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"), F.col(u).alias("_u"), F.col(v).alias("_v"))
+    current = cut(fresh(fresh(pairs).where("_u is not null and _v is not null and a <> b").select("a", "b").distinct()))
     mark = _mark(current)
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -45,7 +51,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         large = meet(both, low, "a", "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = meet(large, least, "a", "n", 2 * mark[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = cut(small.union(least.select("a", F.col("m").alias("b"))).distinct())
+        current = cut(fresh(small.union(least.select("a", F.col("m").alias("b"))).distinct()))
         after = _mark(current)
         if after == mark:
             break

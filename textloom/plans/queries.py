@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from textloom.functions import text as T
 from textloom.operators import aggregates as A
 from textloom.operators import cooccurrence as C
+from textloom.operators import density as D
 from textloom.operators import ensemble, match, replies, sampling
 from textloom.operators import similarity as V
 from textloom.operators import statistics as S
@@ -202,7 +203,7 @@ def named_counts(spark, sf):
     return docs(spark, sf).select("doc_id", label.alias("label"), parsed["name"].alias("name"), parsed["count"].alias("count"))
 
 
-@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref=[\"'']?([^\"''\\s>]+)', 1)) AS INTEGER) AS links FROM pages")
+@query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*(?:>|\\z)(.*?)(?:</title>|\\z)', 1), '\\s+', ' ', 'g')) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\b[^<>]*?\\bhref=[\"'']?([^\"''\\s<>]+)', 1)) AS INTEGER) AS links FROM pages")
 def page_fields(spark, sf):
     p = table(spark, sf, "pages")
     return p.select("page_id", readers.page_title("html").alias("title"), F.size(readers.page_links("html")).alias("links"))
@@ -439,6 +440,12 @@ def kmeans_closest(spark, sf):
     return V.closest_to_centre(V.drop_outliers(out), 5, "vec_id").select("cluster", "vec_id", "place")
 
 
+@query()
+def density_topics(spark, sf):
+    """Every vector with its topic by density; no SQL has the hierarchy, the tests hold it against the definitions."""
+    return D.density_topics(table(spark, sf, "embeddings"), 10, 2, "vec_id")
+
+
 @query()
 def pca_scores(spark, sf):
     return S.principal_components(biased(spark, sf), AXES, 2)[0].select("doc_id", A.r6(F.col("pc1")).alias("pc1"), A.r6(F.col("pc2")).alias("pc2"))
@@ -722,7 +729,7 @@ def registry_rows(spark, sf):
     return readers.read_registry(spark, [{"name": name, "path": f"{sf}/{name}.parquet", "column": "text", "lang": lang} for name, lang in entries])
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->', ' ', 'g'), '<[A-Za-z!/?][^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g')) AS visible FROM pages".replace('\\"', '"'))
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(?:script|style)\b[^>]*(?:>|\z).*?(?:</(?:script|style)\s*>|\z)|<!--.*?(?:-->|\z)', ' ', 'g'), '<[A-Za-z!/?][^>]*(?:>|\z)', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\s+', ' ', 'g')) AS visible FROM pages".replace('\\"', '"'))
 def page_texts(spark, sf):
     return table(spark, sf, "pages").select("page_id", readers.page_text("html").alias("visible"))
 

@@ -205,18 +205,27 @@ def read_registry(spark: SparkSession, registry: list[dict], limit: int | None =
     return out.withColumn("_p", place).where(F.col("_p") <= limit).drop("_p")
 
 
+HIDDEN = r"(?is)<(?:script|style)\b[^>]*(?:>|\z).*?(?:</(?:script|style)\s*>|\z)|<!--.*?(?:-->|\z)"
+TAG = r"<[A-Za-z!/?][^>]*(?:>|\z)"
+LINK = r"""(?i)<a\b[^<>]*?\bhref=["']?([^"'\s<>]+)"""
+TITLE = r"(?is)<title[^>]*(?:>|\z)(.*?)(?:</title>|\z)"
+
+
 def page_text(html) -> Column:
-    """Visible text of a page: tags, scripts and styles go, common entities are decoded, blanks collapse."""
-    t = F.regexp_replace(F.coalesce(c(html), F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"<[A-Za-z!/?][^>]*>", " ")
+    """Visible text of a page: tags, scripts and styles go, common entities are decoded, blanks collapse.
+
+    A script, style, comment or tag that is never closed ends with the page, so that no start is scanned twice.
+    """
+    t = F.regexp_replace(F.coalesce(c(html), F.lit("")), HIDDEN, " ")
+    t = F.regexp_replace(t, TAG, " ")
     for name in ("nbsp", "lt", "gt", "quot", "amp"):
         t = F.replace(t, F.lit(f"&{name};"), F.lit(_html.unescape(f"&{name};").replace("\xa0", " ")))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def page_links(html) -> Column:
-    return F.regexp_extract_all(F.coalesce(c(html), F.lit("")), F.lit(r"""(?i)<a\b[^>]*\bhref=["']?([^"'\s>]+)"""), F.lit(1))
+    return F.regexp_extract_all(F.coalesce(c(html), F.lit("")), F.lit(LINK), F.lit(1))
 
 
 def page_title(html) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(F.coalesce(c(html), F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_extract(F.coalesce(c(html), F.lit("")), TITLE, 1), r"\s+", " "))
