@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -10,9 +11,9 @@ SCHEMA = "page_id long, url string, html string, host string, lines string, n in
 
 
 def lines_of(html):
-    text = re.sub(r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->", " ", html or "")
-    text = re.sub(r"(?i)</?(?:p|div|br|li|ul|h1|body|html|title|head|nav)\b[^>]*>", "\n", text)
-    text = re.sub(r"<[A-Za-z!/?][^>]*>", "", text)
+    text = re.sub(r"(?is)<(script|style)\b[^>]*(>|\Z).*?(</(script|style)\s*>|\Z)|<!--.*?(-->|\Z)", " ", html or "")
+    text = re.sub(r"(?i)</?(?:p|div|br|li|ul|h1|body|html|title|head|nav)\b[^>]*(>|\Z)", "\n", text)
+    text = re.sub(r"<[A-Za-z!/?][^>]*(>|\Z)", "", text)
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = text.replace(a, b)
     return [x for x in (y.strip(" ") for y in re.sub(r"[\x20\x09\x0B\x0C\x0D]+", " ", text).split("\n")) if x]
@@ -45,6 +46,7 @@ def test_against_brute_force(spark, monkeypatch, most):
         body = "".join(f"<p class=x>{rng.choice(['Menu', 'Home &amp; more', 'Login', 'ad <b>now</b>', f'text {rng.randrange(60)}', f'own {i}', ''])}</p>" for _ in range(rng.randint(0, 8)))
         rows.append((i, f"https://{h}/x?{i}", f"<html><head><title>T</title><script>var a='<p>Menu</p>'</script></head><body><!-- Menu\n -->{body}</body></html>"))
     rows += [(900, None, None), (901, "nonsense", ""), (None, "http://a.com", "<p>Menu</p>"), (902, "http://a.com", "<p>twice</p>" * 3), (902, "http://a.com", "<p>twice</p>" * 3), (903, "http://e.com", "<p>" + "long " * 50_000 + "</p>")]
+    rows += [(910 + i, "http://f.com", f"<p>seen {i}</p>{end}") for i, end in enumerate(("<script>x<p>y</p>", "<style", "<!-- <p>z</p>", "<div class='a'", "a < b <p>c", "</script> <b title='<p>'>d</b>", "<script <p>e</p></script>f"))]
     df = spark.createDataFrame([(*r, "x", "y", 1, 2) for r in rows], SCHEMA)
     found = sorted(map(tuple, page_line_dedup(df).collect()), key=str)
     assert found == brute(rows)
@@ -67,3 +69,12 @@ def test_query_cleans_small_hosts(spark, tmp_path):
     assert found[0] == "own 0" and found[2] == "own 2"
     assert found[10] == "own 0\nfifth" and found[13] == "own 3"
     assert found[30] == "footer"
+
+
+@pytest.mark.parametrize("start", ["<script>", "<script ", "<!--", "<div", "<b ", "</script ", "<", "&amp;", "<p>"])
+def test_long_pages_of_what_is_never_closed(spark, start):
+    page = "<p>first</p>" + start * (10_000_000 // len(start))
+    began = time.time()
+    found = page_line_dedup(spark.createDataFrame([(1, "http://a.com", page, "x", "y", 1, 2)], SCHEMA)).collect()
+    assert found[0].text.split("\n")[0] == "first"
+    assert time.time() - began < 60

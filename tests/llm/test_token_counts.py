@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -27,3 +28,20 @@ def test_query_columns_and_cases(docs_of):
     assert found == {(d, len(t.encode()), n, n > 2048) for (d, _), t, n in zip(rows, texts, library(texts), strict=True)}
     assert token_counts(docs_of(rows), PATH).count() == len(rows)
     assert token_counts(docs_of([]), PATH).collect() == []
+
+
+def test_long_words_equal_the_library():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "acgt", "abcdefghijklmnopqrstuvwxyz", "eé日t", "a") for n in (255, 256, 257, 300, 1000, 4001)]
+    texts += ["".join(rng.choice(["the", "ing", "er", "q", "and"]) for _ in range(2000)), " ".join("x" * n for n in range(240, 300))]
+    assert WordBpe(PATH).count(texts) == library(texts)
+
+
+def test_a_million_letters():
+    rng = random.Random(5)
+    for letters in ("acgt", "abcdefghijklmnopqrstuvwxyz"):
+        text = "".join(rng.choice(letters) for _ in range(1_000_000))
+        began = time.time()
+        found = WordBpe(PATH).count([text])
+        assert time.time() - began < 20
+        assert found == library([text])

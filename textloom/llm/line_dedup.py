@@ -12,14 +12,18 @@ RATIO = 0.2  # a line on more than this share of its host's pages is boilerplate
 BROADCAST_BYTES = 16 << 20  # of all hosts' lists, up to which they are broadcast
 LEAST_PAGES = 2  # and on this many pages at least: a page alone is no repetition
 BLOCKS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|option|p|pre|section|select|table|tbody|td|tfoot|th|thead|title|tr|ul"
+# what is never closed ends with the page, so that no start is scanned twice
+GONE = r"(?is)<(?:script|style)\b[^>]*(?:>|\z).*?(?:</(?:script|style)\s*>|\z)|<!--.*?(?:-->|\z)"
+BLOCK_TAG = rf"(?i)</?(?:{BLOCKS})\b[^>]*(?:>|\z)"
+TAG = r"<[A-Za-z!/?][^>]*(?:>|\z)"
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
 
 def html_lines(html: Column) -> Column:
-    """The text lines of a page: scripts, styles and comments go, block tags end a line, other tags vanish, blanks collapse, empty lines go."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[A-Za-z!/?][^>]*>", "")
+    """The text lines of a page: scripts, styles and comments go, block tags end a line, other tags vanish, blanks collapse, empty lines go. A script, style, comment or tag that is never closed ends with the page."""
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), GONE, " ")
+    text = F.regexp_replace(text, BLOCK_TAG, "\n")
+    text = F.regexp_replace(text, TAG, "")
     for entity, sign in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(sign))
     text = F.regexp_replace(text, r"[\x20\x09\x0B\x0C\x0D]+", " ")
@@ -36,8 +40,8 @@ def line_dedup(pages: DataFrame, lines: Column, site: Column, id_col: str = "pag
 
     A line is dropped from all pages of a host if more than `ratio` of the host's pages, and at least `least_pages`,
     hold it. Each page counts a line once (by its MD5 digest); counts are combined before the shuffle, so a line that
-    is on all pages of a hot host costs one row per task. Lines below `least_pages` go before the host totals are
-    joined. What is left is one short list per host, as its ratios sum to no more than the mean lines of its pages.
+    is on all pages of a hot host costs one row per task. Lines below `least_pages` go before they meet the
+    host totals, those of a hot host dealt over tasks. What is left is one short list per host, as its ratios sum to no more than the mean lines of its pages.
     The lists are broadcast if their summed size allows it; else pages meet them by host, and a hot host is dealt over
     as many tasks as its pages need (see meet()). Pages filter their lines in place.
 
@@ -50,13 +54,13 @@ def line_dedup(pages: DataFrame, lines: Column, site: Column, id_col: str = "pag
     counts = rows.select("host", F.explode(digests).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
     totals = pages.select(site.alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
     totals = cut(totals)
-    boiler = counts.join(totals, "host").where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("boiler"))
+    total = totals.agg(F.sum("pages")).first()[0] or 0
+    boiler = meet(counts, totals.withColumn("_size", F.col("pages")), "host", "_size", total).where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("boiler"))
     boiler = cut(boiler)
     size = boiler.agg(F.sum(F.size("boiler") * 24 + F.length("host") + 64)).first()[0] or 0
     if size <= BROADCAST_BYTES:
         met = rows.join(F.broadcast(boiler), "host", "left")
     else:
-        total = totals.agg(F.sum("pages")).first()[0]
         met = meet(rows, totals.join(boiler, "host", "left"), "host", "pages", total)
     known = F.coalesce("boiler", F.array().cast("array<binary>"))
     stay = F.filter("lines", lambda x: ~F.array_contains(known, F.unhex(F.md5(x))))
@@ -73,8 +77,7 @@ SQL = rf"""
 WITH stripped AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
     regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-      '(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>|<!--.*?-->', ' ', 'g'),
-      '(?i)</?(?:{BLOCKS})\b[^>]*>', chr(10), 'g'), '<[A-Za-z!/?][^>]*>', '', 'g') AS t
+      '{GONE}', ' ', 'g'), '{BLOCK_TAG}', chr(10), 'g'), '{TAG}', '', 'g') AS t
   FROM pages),
 plain AS (
   SELECT page_id, host, row_number() OVER () AS rid,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -13,10 +14,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.ragged import WORD_LIMIT, portions
+from textloom.llm.ragged import WORD_LIMIT, portions, released
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 _NONE = np.int64(2**62)
+LONG = 256  # bytes of a word whose places are kept by rank
 
 
 class WordBpe:
@@ -60,8 +62,15 @@ class WordBpe:
         All words lie in one flat array of symbols with their owners. A round finds every word's lowest rank and
         applies that pair at all its places in the word at once, leftmost first where places overlap, as a merge of
         one rank can only make new places for pairs of other symbols. Symbols the vocabulary lacks count as none.
+        Words of more than LONG bytes go to sweep(), where a round costs what it merges and not the whole word.
         """
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        long = np.fromiter((len(w) > LONG for w in raw), bool, len(raw))
+        if long.any():
+            out = np.zeros(len(raw), dtype=np.int64)
+            out[~long] = self.merge([w for w, far in zip(words, long, strict=True) if not far])
+            out[long] = self.sweep([w for w in raw if len(w) > LONG])
+            return out
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
         owner = np.repeat(np.arange(len(raw)), lengths)
@@ -93,6 +102,68 @@ class WordBpe:
             symbols, owner = symbols[stay], owner[stay]
         return done
 
+    def sweep(self, raw: list[bytes]) -> np.ndarray:
+        """merge() of long words: the ranks of all words go up together, and each meets its places only.
+
+        A merge makes places for pairs of its own new symbol alone, and those have higher ranks than the one that made
+        the symbol. So every rank has one round, over the places that are filed under it; symbols are linked to
+        their neighbours, and only the pairs beside a merge get a new rank.
+        """
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        owner = np.repeat(np.arange(len(raw)), lengths)
+        symbols = self.inner[flat]
+        ends = np.cumsum(lengths) - 1
+        symbols[ends] = self.last[flat[ends]]
+        known = symbols >= 0
+        symbols, owner = symbols[known], owner[known]
+        n = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        last = np.r_[owner[1:] != owner[:-1], True][:n]
+        after[last] = -1
+        before[np.flatnonzero(last[:-1]) + 1] = -1
+        before[:1] = -1
+        alive = np.ones(n, dtype=bool)
+        rank = np.full(n, _NONE)
+        filed: dict[int, list[np.ndarray]] = {}
+        waiting: list[int] = []
+
+        def file(places: np.ndarray) -> None:
+            """Ranks the pairs that begin at `places` and files them."""
+            pair = after[places] >= 0
+            rank[places[~pair]] = _NONE
+            places = places[pair]
+            rank[places] = found = self.ranks(symbols[places], symbols[after[places]])
+            order = np.argsort(found, kind="stable")
+            order = order[: np.searchsorted(found[order], _NONE)]
+            found, places = found[order], places[order]
+            starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]][: len(found)])
+            for r, part in zip(found[starts].tolist(), np.split(places, starts[1:]), strict=len(found) > 0):
+                if r not in filed:
+                    filed[r] = []
+                    heapq.heappush(waiting, r)
+                filed[r].append(part)
+
+        file(np.arange(n))
+        while waiting:
+            r = heapq.heappop(waiting)
+            at = np.concatenate(filed.pop(r))
+            at = np.unique(at[alive[at] & (rank[at] == r)])
+            if not len(at):
+                continue
+            chained = np.r_[False, after[at[:-1]] == at[1:]]
+            start = np.flatnonzero(~chained)
+            sizes = np.diff(np.r_[start, len(at)])
+            at = at[(np.arange(len(at)) - np.repeat(start, sizes)) % 2 == 0]
+            right = after[at]
+            symbols[at] = self.made[r]
+            alive[right] = False
+            after[at] = after[right]
+            more = after[at] >= 0
+            before[after[at][more]] = at[more]
+            file(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+        return np.bincount(owner[alive], minlength=len(raw))
+
     def count(self, texts: list[str]) -> list[int]:
         """Tokens of each text; the words that the cache lacks are merged together."""
         found, totals, new = [], [], {}
@@ -159,4 +230,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes")).mapInArrow(released(run, lambda: word_bpe(vocabulary).known.clear()), SCHEMA)
