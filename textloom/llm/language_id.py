@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import sys
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.ragged import WORD_LIMIT, mix, portions, released
+from textloom.llm.ragged import WORD_LIMIT, mix, portions, release, released
+from textloom.session import cut
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, n_letters long, rejected boolean"
 # What \w takes beside letters (Unicode's categories L) and decimal digits: signs such as ² ½ Ⅷ.
@@ -114,31 +117,49 @@ class KneserNey:
             self.contexts.append((head_keys, np.log(back).astype(np.float32)))
 
 
+def learnt(texts: list[str]) -> list[str]:
+    """The words of a language's sample that its model is fitted on."""
+    return [w for i, t in enumerate(texts) if i % 5 or len(texts) < 5 for w in words_of(t)]
+
+
+def kept(texts: list[str]) -> list[str]:
+    """The texts of a sample that are kept for calibration."""
+    return [t for j, t in enumerate(texts) if j % 5 == 0 and words_of(t)] or [t for t in texts if words_of(t)]
+
+
+def _sample(table: pd.DataFrame) -> list[str]:
+    """The sample of one language in a fixed order."""
+    texts = [t.lower() for _, t in sorted(zip(table["doc_id"].tolist(), table["text"].tolist(), strict=True))]
+    return [t for t in texts if words_of(t)]
+
+
 class LanguageModel:
     """The models of all languages with their calibration; `rows` caches what words score."""
 
-    def __init__(self, samples: dict[str, list[str]], order: int = ORDER, false_rejections: float = FALSE_REJECTIONS):
+    def __init__(self, samples: dict[str, list[str]], order: int = ORDER, false_rejections: float = FALSE_REJECTIONS, models: dict[str, KneserNey] | None = None, symbols: int | None = None):
         """samples: lower-cased texts of each language; of each language every fifth is kept for calibration.
 
-        The kept texts are cut into stretches of 1, 4, 16, 64 and all of their windows. `limit` is the deviation that
-        only the share `false_rejections` of these stretches exceeds.
+        With `models` (and the number of `symbols` they count on), samples are the kept texts alone. They are cut into
+        stretches of 1, 4, 16, 64 and all of their windows. `limit` is the deviation that only the share
+        `false_rejections` of these stretches exceeds.
         """
         self.languages = sorted(samples)
         self.order = order
-        fit = {k: [t for i, t in enumerate(v) if i % 5 or len(v) < 5] for k, v in samples.items()}
-        words = {k: [w for t in v for w in words_of(t)] for k, v in fit.items()}
-        symbols = len({c for v in words.values() for w in v for c in w}) + 1
-        models = [KneserNey(words[k], symbols, order) for k in self.languages]
+        if models is None:
+            words = {k: learnt(v) for k, v in samples.items()}
+            symbols = len({c for v in words.values() for w in v for c in w}) + 1
+            models = {k: KneserNey(v, symbols, order) for k, v in words.items()}
+            samples = {k: kept(v) for k, v in samples.items()}
+        found = [models[k] for k in self.languages]
         self.floor = -math.log(symbols + 1)
-        self.grams = [_together([m.grams[n] for m in models]) for n in range(order)]
-        self.contexts = [_together([m.contexts[n] for m in models]) for n in range(order)]
+        self.grams = [_together([m.grams[n] for m in found]) for n in range(order)]
+        self.contexts = [_together([m.contexts[n] for m in found]) for n in range(order)]
         self.start()
         self.mean, self.spread = np.zeros(len(self.languages)), np.ones(len(self.languages))
         stretches: list[tuple[int, np.ndarray, np.ndarray]] = []
         for i, k in enumerate(self.languages):
-            kept = [t for j, t in enumerate(samples[k]) if j % 5 == 0 and words_of(t)] or [t for t in samples[k] if words_of(t)]
             costs, sizes = [], []
-            for t in kept:
+            for t in samples[k]:
                 own = words_of(t)
                 self.learn_words(own)
                 cost, size, _ = self.windows(own)
@@ -230,7 +251,8 @@ def train(docs: DataFrame, learnable, docs_per_language: int = DOCS_PER_LANGUAGE
 
     About `docs_per_language` documents of each language of at most `max_chars` characters, chosen by the hash of
     their id, so the sample (and the model, which is broadcast) doesn't grow with the table. The number of rows
-    of each language comes from a count over the whole table.
+    of each language comes from a count over the whole table. Each language is fitted in a task of its own; the driver
+    gets the models and the few texts that calibrate them.
     """
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -239,11 +261,21 @@ def train(docs: DataFrame, learnable, docs_per_language: int = DOCS_PER_LANGUAGE
     buckets = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(buckets, math.ceil(buckets * docs_per_language / n)))])
     picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(buckets)) < share[F.col("lang")])
-    samples: dict[str, list[str]] = {}
-    for r in sorted(picked.select("doc_id", "lang", "text").collect(), key=lambda r: (r["doc_id"], r["text"])):
-        if words_of(r["text"].lower()):
-            samples.setdefault(r["lang"], []).append(r["text"].lower())
-    return LanguageModel(samples, order) if samples else None
+    picked = cut(picked.select("doc_id", "lang", "text"))
+    letters = picked.groupBy("lang").applyInPandas(lambda t: pd.DataFrame({"letter": sorted({c for w in learnt(_sample(t)) for c in w})}), "letter string")
+    symbols = letters.distinct().count() + 1
+
+    def fit(table: pd.DataFrame) -> pd.DataFrame:
+        texts = _sample(table)
+        if not texts:
+            return pd.DataFrame({"lang": [], "model": [], "kept": []})
+        return pd.DataFrame({"lang": table["lang"][:1], "model": [pickle.dumps(KneserNey(learnt(texts), symbols, order))], "kept": [pickle.dumps(kept(texts))]})
+
+    fitted = picked.groupBy("lang").applyInPandas(fit, "lang string, model binary, kept binary").collect()
+    model = LanguageModel({r["lang"]: pickle.loads(r["kept"]) for r in fitted}, order, models={r["lang"]: pickle.loads(r["model"]) for r in fitted}, symbols=symbols) if fitted else None
+    del fitted
+    release()
+    return model
 
 
 def language_id(docs: DataFrame, model: LanguageModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
