@@ -261,9 +261,9 @@ def test_quotas(spark, tmp_path):
         spark.createDataFrame([(i * 10 + j, "en" if j % 3 else "ja") for j in range(10)], "id long, lang string").coalesce(1).write.mode("append").parquet(source)
     stream = lambda: R.stream_files(spark, source, "id long, lang string", files_per_batch=1)
     R.append_until(stream(), str(tmp_path / "a"), str(tmp_path / "as"), 13).awaitTermination()
-    assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "a")).count() == 13
+    assert spark.read.parquet(str(tmp_path / "a")).count() == 13
     R.append_until(stream(), str(tmp_path / "b"), str(tmp_path / "bs"), 5, "lang").awaitTermination()
-    found = {r.lang: r["count"] for r in spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "b")).groupBy("lang").count().collect()}
+    found = {r.lang: r["count"] for r in spark.read.parquet(str(tmp_path / "b")).groupBy("lang").count().collect()}
     assert found == {"en": 5, "ja": 5}
 
 

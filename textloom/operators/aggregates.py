@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.text import count_label
+from textloom.operators.quantiles import exact_quantiles
 
 
 def r6(x: Column) -> Column:
@@ -95,8 +96,9 @@ def language_axis_summary(df: DataFrame, axes: list[str], lang: str = "lang", to
     long = melt(df.select(lang, topic, *axes), [lang, topic], axes)
     stats = long.groupBy(lang, "axis").agg(
         F.count("value").alias("n"), F.avg("value").alias("_m"), F.stddev_pop("value").alias("_sd"), F.stddev_samp("value").alias("_ss"),
-        F.percentile("value", F.lit(0.5)).alias("_q2"), F.percentile("value", F.lit(0.25)).alias("_q1"), F.percentile("value", F.lit(0.75)).alias("_q3"),
     )
+    marks = exact_quantiles(long, [lang, "axis"], "value", {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75})
+    stats = stats.join(marks.select(F.col(lang).alias("_lang"), F.col("axis").alias("_axis"), "_q1", "_q2", "_q3"), F.col(lang).eqNullSafe(F.col("_lang")) & (F.col("axis") == F.col("_axis")), "left")
     by_topic = long.groupBy(lang, "axis", topic).agg(F.avg("value").alias("_t"))
     least = by_topic.groupBy(lang, "axis").agg(F.min_by(topic, F.struct(F.bround("_t", 9), topic)).alias("most_negative_topic"))
     order = F.create_map(*[F.lit(x) for i, a in enumerate(axes) for x in (a, i)])

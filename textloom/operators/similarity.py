@@ -17,6 +17,8 @@ from pyspark.sql.window import Window
 from textloom.functions.vectors import cosine, dot, mean_vector, minus, norm, squared_distance, sum_vector, unit
 from textloom.operators.aggregates import r6
 from textloom.operators.neighbours import BLOCK, nearest, vectors_of
+from textloom.operators.overlap import near_copies
+from textloom.operators.quantiles import exact_quantiles
 from textloom.operators.tables import small
 
 
@@ -145,7 +147,7 @@ def kmeans(df: DataFrame, k: int, vector: str, seed: int = 42, out: str = "clust
 
 def drop_outliers(clustered: DataFrame, percentile: float = 0.95, cluster: str = "cluster") -> DataFrame:
     """Rows within the percentile of their cluster's distances."""
-    limits = clustered.groupBy(cluster).agg(F.percentile("distance", F.lit(percentile)).alias("_limit"))
+    limits = exact_quantiles(clustered, [cluster], "distance", {"_limit": percentile})
     return clustered.join(small(limits), cluster).where("distance <= _limit").drop("_limit")
 
 
@@ -174,26 +176,27 @@ def ratio_above(threshold: float):
     return above
 
 
-def leaks(val: DataFrame, train: DataFrame, val_id: str, train_id: str, text: str = "text", threshold: float = 0.85, blocking: bool = True, exact: bool = True) -> DataFrame:
-    """(val_id, kind): validation rows that are in the training rows exactly (`exact`) or nearly (`fuzzy`).
+def leaks(val: DataFrame, train: DataFrame, val_id: str, train_id: str, text: str = "text", threshold: float = 0.85, blocking: bool = True, exact: bool = True, near: bool = True) -> DataFrame:
+    """(val_id, kind): validation rows that are in the training rows exactly (`exact`) or nearly (`fuzzy`, if `near`).
 
     Candidates share a MinHash bucket of character 4-grams (`blocking`, which loses pairs whose edits are spread), or
-    are all pairs of texts whose lengths can reach the ratio, which loses none: at 0.85 neither shared letters nor
-    shared grams bound the ratio well enough to block by. The ratio itself is difflib's.
+    are all pairs that the bounds of near_copies() leave, which loses none. The ratio itself is difflib's.
     """
     v, t = val.select(F.col(val_id).alias("_v"), F.col(text).alias("a")), train.select(F.col(train_id).alias("_t"), F.col(text).alias("b"))
     same = v.join(t.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("_v")
+    found = same.select(F.col("_v").alias(val_id), F.lit("exact").alias("kind"))
+    if not near:
+        return found
     rest = v.join(same, "_v", "left_anti")
-    lengths = 2 * F.least(F.char_length("a"), F.char_length("b")) > threshold * (F.char_length("a") + F.char_length("b"))
     if blocking:
         pairs = minhash_pairs(rest.select(F.col("_v").alias("id"), F.col("a").alias("x")), t.select(F.col("_t").alias("id"), F.col("b").alias("x")))
-        pairs = pairs.select(F.col("left").alias("_v"), F.col("lx").alias("a"), F.col("right").alias("_t"), F.col("rx").alias("b")).where(lengths)
+        pairs = pairs.select(F.col("left").alias("_v"), F.col("lx").alias("a"), F.col("rx").alias("b"))
+        like = pairs.where(2 * F.least(F.char_length("a"), F.char_length("b")) > threshold * (F.char_length("a") + F.char_length("b")))
+        like = like.where(ratio_above(threshold)("a", "b")).select("_v").distinct()
     else:
-        pairs = rest.select("a").distinct().join(t.select("b").distinct(), lengths)
-    near = pairs.where(ratio_above(threshold)("a", "b"))
-    near = near.select("_v").distinct() if blocking else rest.join(near.select("a").distinct(), "a", "left_semi").select("_v").distinct()
-    out = near.select(F.col("_v").alias(val_id), F.lit("fuzzy").alias("kind"))
-    return same.select(F.col("_v").alias(val_id), F.lit("exact").alias("kind")).union(out) if exact else out
+        like = near_copies(rest, t, "_v", "_t", threshold=threshold, others=False, text="a", train_text="b").select(F.col("held").alias("_v")).distinct()
+    like = like.select(F.col("_v").alias(val_id), F.lit("fuzzy").alias("kind"))
+    return found.union(like) if exact else like
 
 
 def minhash_pairs(left: DataFrame, right: DataFrame, tables: int = 20, distance: float = 0.6) -> DataFrame:

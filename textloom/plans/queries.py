@@ -17,9 +17,10 @@ from textloom.operators import ensemble, match, replies, sampling
 from textloom.operators import similarity as V
 from textloom.operators import statistics as S
 from textloom.operators import tables as J
+from textloom.operators.overlap import near_copies
 from textloom.plans import export as X
 from textloom.plans import stages
-from textloom.sources import readers
+from textloom.sources import arrays, readers
 from textloom.streaming import incremental
 from textloom.session import checkpoint_dir, cut, spread, table
 from textloom.sinks import writers
@@ -434,6 +435,19 @@ def cluster_scores(spark, sf):
     return out.select("clusters", "rows", A.r6(F.col("davies_bouldin")).alias("davies_bouldin"), A.r6(F.col("calinski_harabasz")).alias("calinski_harabasz"))
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS place, round_even(CAST(list_sum(CAST(embedding AS DOUBLE[])) AS DOUBLE), 6) AS total, CAST(embedding[1] AS DOUBLE) AS first FROM embeddings")
+def array_rows(spark, sf):
+    """The embeddings written as .npy files by the tasks that hold them, and read back by ranges of rows."""
+    folder = f"{checkpoint_dir(spark)}/arrays-{uuid.uuid4().hex}"
+    e = table(spark, sf, "embeddings")
+    arrays.write_npy(e, folder, "vec_id", "embedding", V.dim_of(e, "embedding"))
+    rows = arrays.read_npy(spark, folder, 1 << 20)
+    files = cut(rows.groupBy("name").agg(F.count("*").alias("n")))  # a row a file
+    before = files.select("name", (F.sum("n").over(Window.orderBy("name")) - F.col("n")).alias("before"))
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return rows.join(J.small(before), "name").select((F.col("before") + F.col("row")).alias("place"), A.r6(total).alias("total"), F.get("vector", F.lit(0)).alias("first"))
+
+
 @query()
 def kmeans_closest(spark, sf):
     out = V.kmeans(table(spark, sf, "embeddings"), 10, "embedding")
@@ -533,8 +547,7 @@ def oversampled(spark, sf):
 @query("SELECT d.doc_id, 'exact' AS kind FROM documents d WHERE doc_id % 10 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 10 <> 0)")
 def exact_leaks(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "text")
-    found = V.leaks(rows.where("doc_id % 10 = 0"), rows.where("doc_id % 10 <> 0"), "doc_id", "doc_id")
-    return found.where("kind = 'exact'")
+    return V.leaks(rows.where("doc_id % 10 = 0"), rows.where("doc_id % 10 <> 0"), "doc_id", "doc_id", near=False)
 
 
 @query()
@@ -543,6 +556,21 @@ def all_leaks(spark, sf):
     return V.leaks(rows.where("doc_id % 10 = 0"), rows.where("doc_id % 10 <> 0"), "doc_id", "doc_id", blocking=False)
 
 
+@query()
+def near_leaks(spark, sf):
+    """Every pair of a held-out document (ids divisible by 100) and another whose difflib ratio exceeds 0.85; held against all pairs in the tests."""
+    rows = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    return near_copies(rows.where("doc_id % 100 = 0"), rows, "doc_id", "doc_id").select("held", "train", A.r6(F.col("ratio")).alias("ratio"))
+
+
+@query()
+def leak_report(spark, sf):
+    """The verdict on a validation table: shares of exact and near leaks, and whether they exceed 5 %."""
+    rows = spread(table(spark, sf, "documents")).select("doc_id", "text")
+    val = rows.where("doc_id % 100 = 0")
+    return V.leak_verdict(val, V.leaks(val, rows.where("doc_id % 100 <> 0"), "doc_id", "doc_id", blocking=False))
+
+
 @query("SELECT doc_id, quality, toxic FROM labels WHERE toxic = 1 AND quality = 1")
 def flag_conjunction(spark, sf):
     return J.flags(table(spark, sf, "labels"), ["toxic", "quality"]).select("doc_id", "quality", "toxic")
@@ -834,11 +862,12 @@ def stream_filtered(spark, sf):
     return spark.read.parquet(f"{folder}/out").select("doc_id", "char_count")
 
 
-@query("SELECT lang, least(count(*), 20) AS rows FROM documents GROUP BY lang")
+@query("SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents) WHERE k <= 20")
 def stream_quota(spark, sf):
+    """The first 20 documents of each language, counted in the stream's state."""
     stream, folder = _stream(spark, sf, "documents")
-    incremental.append_until(stream.select("doc_id", "lang"), f"{folder}/out", f"{folder}/state", 20, "lang").awaitTermination()
-    return spark.read.option("recursiveFileLookup", True).parquet(f"{folder}/out").groupBy("lang").agg(F.count("*").alias("rows"))
+    incremental.append_until(stream.select("doc_id", "lang"), f"{folder}/out", f"{folder}/state", 20, "lang", "doc_id").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN -1 ELSE n_chars % 2 END AS label FROM documents")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from textloom.functions.text import contains_any
 
@@ -34,30 +36,51 @@ def append_to(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def append_until(stream: DataFrame, path: str, checkpoint: str, quota: int, by: str | None = None) -> StreamingQuery:
-    """Appends until the sink has `quota` rows (per value of `by`). A batch is written under its number, so a batch that
-    is run again replaces itself."""
-    spark = stream.sparkSession
+class Quota(StatefulProcessor):
+    """Lets rows of a key pass until `quota` have; how many did is state, kept for `keep` ms without rows (None: for good).
 
-    def write(batch: DataFrame, number: int) -> None:
-        from textloom.sources.readers import first_existing
+    Of the rows that come together, those first by `order` pass, so that a batch's arrival order is of no account.
+    """
 
-        done = spark.createDataFrame([], batch.schema)
-        if first_existing(spark, [path]):
-            done = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(path).where(~F.input_file_name().contains(f"/batch-{number:08d}/"))
-        if by is None:
-            left = quota - done.count()
-            if left > 0:
-                batch.limit(left).write.mode("overwrite").parquet(f"{path}/batch-{number:08d}")
-            return
-        from pyspark.sql.window import Window
-
-        have = done.groupBy(by).agg(F.count("*").alias("_have"))
-        place = F.row_number().over(Window.partitionBy(by).orderBy(F.xxhash64(*batch.columns)))
-        fresh = batch.withColumn("_p", place).join(have, by, "left").where(F.col("_p") + F.coalesce("_have", F.lit(0)) <= quota)
-        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch-{number:08d}")
+    def __init__(self, quota: int, order: str | None, keep: int | None):
+        self.quota, self.order, self.keep = quota, order, keep
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.passed = handle.getValueState("passed", "n long", self.keep)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        done = self.passed.get()[0] if self.passed.exists() else 0
+        left = self.quota - done
+        best: pd.DataFrame | None = None
+        for part in rows:
+            if left <= 0:
+                continue
+            best = part if best is None else pd.concat([best, part])
+            best = (best.sort_values(self.order, kind="stable") if self.order else best).head(left)
+        if best is not None and len(best):
+            self.passed.update((done + len(best),))
+            yield best
+
+    def close(self) -> None:
+        pass
+
+
+def under_quota(stream: DataFrame, by: str | None, quota: int, order: str | None = None, keep: int | None = None) -> DataFrame:
+    """The rows of a stream until each value of `by` has had `quota`, also across restarts.
+
+    Counts live in the state store under the stream's checkpoint, and the sink is never read: a restart goes on with the
+    counts of the last batch that was finished, so rows are neither lost nor let through twice. Null is a value of `by`;
+    without `by` all rows share one quota.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    key = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("")) if by else F.lit("")
+    keyed = stream.withColumn("_key", key)
+    return keyed.groupBy("_key").transformWithStateInPandas(Quota(quota, order, keep), stream.schema, "Append", "ProcessingTime" if keep else "None")
+
+
+def append_until(stream: DataFrame, path: str, checkpoint: str, quota: int, by: str | None = None, order: str | None = None) -> StreamingQuery:
+    """Appends until the sink has `quota` rows (per value of `by`); see under_quota()."""
+    return append_to(under_quota(stream, by, quota, order), path, checkpoint)
 
 
 def append_labels(stream: DataFrame, label: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, key: str) -> StreamingQuery:
