@@ -13,7 +13,7 @@ from textloom.functions import text as T
 from textloom.operators import aggregates as A
 from textloom.operators import cooccurrence as C
 from textloom.operators import density as D
-from textloom.operators import ensemble, match, replies, sampling
+from textloom.operators import ensemble, match, replies, sampling, segment
 from textloom.operators import similarity as V
 from textloom.operators import statistics as S
 from textloom.operators import tables as J
@@ -448,6 +448,17 @@ def array_rows(spark, sf):
     return rows.join(J.small(before), "name").select((F.col("before") + F.col("row")).alias("place"), A.r6(total).alias("total"), F.get("vector", F.lit(0)).alias("first"))
 
 
+@query()
+def segmented_documents(spark, sf):
+    """Words of all documents learnt from those whose crc32(doc_id) mod 5 is not 0, found again in the others' letters without blanks: boundaries there, found, and right."""
+    rows = tokenised(spark, sf).select("doc_id", F.coalesce("tokens", F.array()).alias("tokens"))
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
+    model = segment.learn(rows.where(fold != 0).select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    held = rows.where(fold == 0).select("doc_id", F.array_join("tokens", "").alias("text"), segment.boundaries("tokens").alias("own"))
+    found = segment.segmented(held, model).select("doc_id", "own", F.size("words").alias("n_words"), segment.boundaries("words").alias("ends"))
+    return found.select("doc_id", "n_words", F.size("own").alias("n_own"), F.size("ends").alias("n_found"), F.size(F.array_intersect("own", "ends")).alias("n_right"))
+
+
 @query()
 def kmeans_closest(spark, sf):
     out = V.kmeans(table(spark, sf, "embeddings"), 10, "embedding")
