@@ -39,7 +39,7 @@ def line_dedup(pages: DataFrame, lines: Column, site: Column, id_col: str = "pag
     """One row per input row: page_id, host, n_lines, n_dropped, text (the lines that stay).
 
     A line is dropped from all pages of a host if more than `ratio` of the host's pages, and at least `least_pages`,
-    hold it. Each page counts a line once (by its MD5 digest); counts are combined before the shuffle, so a line that
+    hold it. The lines of all pages are written to the shared folder, so that no page is parsed twice. Each page counts a line once (by its MD5 digest); counts are combined before the shuffle, so a line that
     is on all pages of a hot host costs one row per task. Lines below `least_pages` go before they meet the
     host totals, those of a hot host dealt over tasks. What is left is one short list per host, as its ratios sum to no more than the mean lines of its pages.
     The lists are broadcast if their summed size allows it; else pages meet them by host, and a hot host is dealt over
@@ -49,10 +49,10 @@ def line_dedup(pages: DataFrame, lines: Column, site: Column, id_col: str = "pag
     returned as it is; repeated rows count as pages each; a ratio that equals the limit stays; an empty table gives no
     rows; other columns are ignored, whatever their names.
     """
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), site.alias("host"), lines.alias("lines"))
+    rows = cut(pages.select(F.col(id_col).cast("long").alias("page_id"), site.alias("host"), lines.alias("lines")))
     digests = F.array_distinct(F.transform("lines", lambda x: F.unhex(F.md5(x))))
     counts = rows.select("host", F.explode(digests).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    totals = pages.select(site.alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     totals = cut(totals)
     total = totals.agg(F.sum("pages")).first()[0] or 0
     boiler = meet(counts, totals.withColumn("_size", F.col("pages")), "host", "_size", total).where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("boiler"))
