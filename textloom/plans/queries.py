@@ -20,7 +20,7 @@ from textloom.operators import tables as J
 from textloom.operators.overlap import near_copies
 from textloom.plans import export as X
 from textloom.plans import stages
-from textloom.sources import arrays, readers
+from textloom.sources import arrays, readers, shards
 from textloom.streaming import incremental
 from textloom.session import checkpoint_dir, cut, spread, table
 from textloom.sinks import writers
@@ -881,6 +881,20 @@ def stream_quota(spark, sf):
     return spark.read.parquet(f"{folder}/out")
 
 
+@query("SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS chars, md5(text) AS digest FROM documents WHERE text IS NOT NULL")
+def stream_shard_lines(spark, sf):
+    """The documents written as JSON lines, half of them gzipped, and streamed back from the shards by ranges of bytes."""
+    folder = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
+    rows = spread(table(spark, sf, "documents")).where("text is not null").select("doc_id", "lang", "text")
+    for name, half in (("none", "doc_id % 2 = 0"), ("gzip", "coalesce(doc_id % 2, 1) <> 0")):
+        rows.where(half).write.option("compression", name).option("ignoreNullFields", False).json(f"{folder}/{name}")
+    urls = sorted(r["path"] for name in ("none", "gzip") for r in spark.read.format("binaryFile").load(f"{folder}/{name}").select("path").collect())  # a row a file
+    lines = shards.stream_shards(spark, urls).select(F.from_json("line", "doc_id long, lang string, text string").alias("d"))
+    found = lines.select("d.doc_id", "d.lang", F.char_length("d.text").alias("chars"), F.md5("d.text").alias("digest"))
+    incremental.append_to(found, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN -1 ELSE n_chars % 2 END AS label FROM documents")
 def stream_labels(spark, sf):
     """Documents that have a label already (a fourth of them) are not labelled again."""
