@@ -11,17 +11,17 @@ HOT = 256  # rows of a key that are never split
 SHARE = 1000  # a key with more than this part of all rows is
 
 
-def meet(rows: DataFrame, known: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def meet(rows: DataFrame, known: DataFrame, key: str, size: str, total: int, by: list[str] | None = None) -> DataFrame:
     """Inner join of `rows` with `known`, which has one row per key and in `size` about how many rows the key has.
 
     Keys of more than max(HOT, total / SHARE) rows are split: their rows are dealt over as many salts as that limit
-    goes into their size, and their row of `known` is repeated for each salt. All sizes sum to `total`, so there are at
+    goes into their size (by a hash of the columns `by`, or of all), and their row of `known` is repeated for each salt. All sizes sum to `total`, so there are at
     most SHARE such keys, which is the bound of the one table that is broadcast (key and number of salts).
     """
     limit = max(HOT, total // SHARE)
     salts = F.ceil(F.col(size) / F.lit(float(limit))).cast("int")
     hot = known.where(F.col(size) > limit).select(key, salts.alias("_salts"))
-    rest = [F.col(c) for c in rows.columns if c != key]
+    rest = [F.col(c) for c in by or rows.columns if c != key]
     salted = rows.join(F.broadcast(hot), key, "left")
     salted = salted.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
     spread = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > limit, salts - 1).otherwise(0)))).drop(size)
