@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.operators.graph import meet
 from textloom.session import cut, packed
 
 WORD = r"[^\x09-\x0D\x20]+"
@@ -17,6 +18,7 @@ AT_ONCE = 5  # steps whose middles are evaluated in one pass
 BLOCK = 512  # documents of a block of a permutation, about
 BLOCKS = 4096  # blocks of a stretch
 BROADCAST_ROWS = 100_000  # sources up to which their table is broadcast
+BROADCAST_BYTES = 16 << 20  # and of their names
 _RANGE = 16**15
 
 
@@ -109,7 +111,7 @@ def mix_plan(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str =
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
     plan = plan.withColumn("full", whole).withColumn("rest", F.col("budget") - F.col("full") * F.col("tokens")).withColumn("blocks", F.ceil(F.col("docs") / F.lit(float(BLOCK))).cast("long"))
 
-    placed = slim.join(small(plan.where("rest > 0").select("source", "full", "rest", "blocks")), "source")
+    placed = with_source(slim, plan.where("rest > 0").select("source", "full", "rest", "blocks", "docs"))
     placed = placed.withColumn("place", place_of(mix.seed, F.col("full"), F.col("doc_id"))).withColumn("block", block_of(F.col("place"), F.col("blocks")))
     sums = cut(placed.groupBy("source", "rest", "block").agg(F.sum("n").alias("n"))).withColumn("stretch", F.floor(F.col("block") / BLOCKS))
     stretches = sums.groupBy("source", "rest", "stretch").agg(F.sum("n").alias("n"))
@@ -135,17 +137,30 @@ def block_of(place: Column, blocks: Column) -> Column:
 
 
 def small(table: DataFrame) -> DataFrame:
-    """Broadcasts a table of sources if a count shows that it is small; else it joins as it is."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    """Broadcasts a table of sources if its rows and the bytes of their names show that it is small; else it joins as it is."""
+    return F.broadcast(table) if _fits(table) else table
+
+
+def _fits(table: DataFrame) -> bool:
+    n, size = table.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.octet_length("source"))).first()
+    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
+def with_source(rows: DataFrame, sources: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Rows (with a column source) beside their source's columns but `docs`, its number of documents: by a broadcast if the sources
+    are few, else by meet(), which deals a hot source over tasks."""
+    if _fits(sources):
+        return rows.join(F.broadcast(sources.drop("docs")), "source")
+    return meet(rows, sources, "source", "docs", sources.agg(F.sum("docs")).first()[0] or 0, by)
 
 
 def mix_rows(docs: DataFrame, mix: Mix | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """mix_sources() with the kept columns (default: all) in one struct `row`, where no name can clash."""
     mix = mix or Mix()
     plan = cut(mix_plan(docs, mix, id_col, text_col, source_col))
-    parts = plan.select(F.struct(F.col("source"), "weight", "full", "blocks", "cut_place", "cut_id").alias("_plan"))
+    parts = plan.select("source", F.struct("weight", "full", "blocks", "cut_place", "cut_id").alias("_plan"), "docs")
     rows = docs.select(packed(docs.select(*keep) if keep else docs).alias("row"), F.struct(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), tokens_of(F.col(text_col)).alias("n")).alias("_doc"))
-    met = rows.join(small(parts), F.col("_doc.source") == F.col("_plan.source"))
+    met = with_source(rows.withColumn("source", F.col("_doc.source")), parts, ["_doc"])
     spot = place_of(mix.seed, F.col("_plan.full"), F.col("_doc.id"))
     key = F.coalesce("_doc.id", F.lit(-(2**63)).cast("long"))
     head = F.coalesce((spot < F.col("_plan.cut_place")) | ((spot == F.col("_plan.cut_place")) & (key <= F.col("_plan.cut_id"))), F.lit(False))
