@@ -16,11 +16,14 @@ def meet(rows: DataFrame, known: DataFrame, key: str, size: str, total: int, by:
 
     Keys of more than max(HOT, total / SHARE) rows are split: their rows are dealt over as many salts as that limit
     goes into their size (by a hash of the columns `by`, or of all), and their row of `known` is repeated for each salt. All sizes sum to `total`, so there are at
-    most SHARE such keys, which is the bound of the one table that is broadcast (key and number of salts).
+    most SHARE such keys, which is the bound of the one table that is broadcast (key and number of salts). Where there is
+    none, the join is a plain one. `known` is read twice, so it should be written already.
     """
     limit = max(HOT, total // SHARE)
     salts = F.ceil(F.col(size) / F.lit(float(limit))).cast("int")
     hot = known.where(F.col(size) > limit).select(key, salts.alias("_salts"))
+    if hot.isEmpty():
+        return rows.join(known.drop(size), key)
     rest = [F.col(c) for c in by or rows.columns if c != key]
     salted = rows.join(F.broadcast(hot), key, "left")
     salted = salted.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*rest), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
@@ -47,9 +50,10 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     mark = _mark(current)
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = meet(both, low, "a", "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        low = cut(fresh(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")))
+        large = meet(both, low, "a", "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(fresh(large.distinct()))
+        least = cut(fresh(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))))
         small = meet(large, least, "a", "n", 2 * mark[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         current = cut(fresh(small.union(least.select("a", F.col("m").alias("b"))).distinct()))
         after = _mark(current)
