@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from textloom.llm.language_id import KneserNey, LanguageModel, _grams, _spelled, language_filter, language_id, words_of
 
@@ -175,3 +176,30 @@ def test_false_and_true_rejections():
     assert not any(p[4] for p in mixed)
     junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rng.randint(40, 400))) for _ in range(200)] + ["щука жила " * n for n in (3, 30)] + [rng.randbytes(n).hex() for n in (20, 200)]
     assert all(p[4] for p in model.predict(junk))
+
+
+def test_whole_query_equals_plain_dictionaries(spark):
+    """op3 on every row of sf0.001: the language and the cross-entropy that plain models, learnt from the same texts, give."""
+    from textloom.llm.queries import op3_language_id
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts = {}
+    for doc_id, text, lang in sorted((r for r in rows if None not in r), key=lambda r: r[:2]):
+        if zlib.crc32(str(doc_id).encode()) % 5 and len(text) <= 20_000 and words_of(text.lower()):
+            texts.setdefault(lang, []).append(text.lower())
+    fit = {k: [w for i, t in enumerate(v) if i % 5 or len(v) < 5 for w in words_of(t)] for k, v in texts.items()}
+    symbols = len({c for v in fit.values() for w in v for c in w}) + 1
+    plain = {k: Plain(v, symbols) for k, v in fit.items()}
+    scores = {k: {} for k in plain}
+    found = {r.doc_id: r for r in op3_language_id(spark, sf).collect()}
+    assert len(found) == len(rows)
+    for doc_id, text, _ in rows:
+        words = words_of((text or "").lower())
+        if not words:
+            assert found[doc_id].lang_pred == "und"
+            continue
+        cost = {k: -sum(scores[k][w] if w in scores[k] else scores[k].setdefault(w, m.score(w)) for w in words) / sum(len(w) + 1 for w in words) for k, m in plain.items()}
+        best = min(cost, key=cost.get)
+        assert found[doc_id].cross_entropy == pytest.approx(cost[best], abs=2e-4)
+        assert found[doc_id].lang_pred == best or cost[found[doc_id].lang_pred] - cost[best] < 4e-4
