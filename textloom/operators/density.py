@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.operators.graph import components, fresh
+from textloom.operators.graph import anew as cut
+from textloom.operators.graph import components
 from textloom.operators.neighbours import exact_distance, nearest, vectors_of
 from textloom.operators.similarity import dim_of
-from textloom.session import cut as _cut
 
 PAIR_BLOCK = 2048  # rows of a block; a task spans two
 LOCAL = 200_000  # edges that one task takes
@@ -22,10 +22,6 @@ LEAST_WEIGHT = 1e-9  # the distance of equal rows, whose density has no bound
 EDGE = "w double, u long, v long"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    return _cut(fresh(df))
-
-
 def spanning(ids: np.ndarray, x: np.ndarray, core: np.ndarray) -> list[tuple[float, int, int]]:
     """The minimum spanning tree of the mutual reachability distances of some rows, by Prim's method: (w, u, v), u < v.
 

@@ -31,10 +31,15 @@ def meet(rows: DataFrame, known: DataFrame, key: str, size: str, total: int, by:
     return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
-def fresh(df: DataFrame) -> DataFrame:
-    """The same rows under new attributes. A cut keeps what the optimizer has derived of its columns; a loop that swaps
-    and renames columns has it derive more in each round, until planning takes longer than the jobs."""
-    return df.select(F.inline(F.array(F.struct(*df.columns))))
+def anew(df: DataFrame) -> DataFrame:
+    """Writes a table like cut(), without what the optimizer has derived of it.
+
+    A cut keeps the constraints of its columns and its estimated size. In a loop they feed on themselves: renamed columns
+    multiply the constraints, and each join multiplies the sizes, which become numbers of millions of digits and fill the
+    driver. The same rows as a new data frame know neither.
+    """
+    written, session = cut(df)._jdf, df.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(written.queryExecution().toRdd(), written.schema(), False), session)
 
 
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -46,16 +51,16 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     an empty output.
     """
     pairs = edges.select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b"), F.col(u).alias("_u"), F.col(v).alias("_v"))
-    current = cut(fresh(fresh(pairs).where("_u is not null and _v is not null and a <> b").select("a", "b").distinct()))
+    current = anew(pairs.where("_u is not null and _v is not null and a <> b").select("a", "b").distinct())
     mark = _mark(current)
     while True:
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(fresh(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")))
+        low = anew(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
         large = meet(both, low, "a", "n", 2 * mark[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(fresh(large.distinct()))
-        least = cut(fresh(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))))
+        large = anew(large.distinct())
+        least = anew(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         small = meet(large, least, "a", "n", 2 * mark[0]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = cut(fresh(small.union(least.select("a", F.col("m").alias("b"))).distinct()))
+        current = anew(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         after = _mark(current)
         if after == mark:
             break

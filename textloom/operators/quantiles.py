@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.operators.graph import fresh
+from textloom.operators.graph import anew
 from textloom.operators.tables import small
 from textloom.session import cut
 
@@ -44,7 +44,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str,
         counts = met.groupBy("g", "rank", "before", "bucket").agg(F.count("*").alias("held"), F.min("v").alias("low"), F.max("v").alias("high"))
         upto = F.col("before") + F.sum("held").over(Window.partitionBy("g", "rank").orderBy("bucket"))
         found = counts.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("held")))
-        open_ = cut(fresh(found.select("g", "rank", "low", "high", (F.col("upto") - F.col("held")).alias("before"), "held")))
+        open_ = anew(found.select("g", "rank", "low", "high", (F.col("upto") - F.col("held")).alias("before"), "held"))
     for part in ready:
         place = F.col("before") + F.row_number().over(Window.partitionBy("g", "rank").orderBy("v")) - 1
         done.append(_within(rows, part).withColumn("_place", place).where("_place = rank").select("g", "rank", "v"))
