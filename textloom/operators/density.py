@@ -105,7 +105,7 @@ def spanning_tree(edges: DataFrame, local: int = LOCAL) -> DataFrame:
         named = edges.join(names.select(F.col("node").alias("u"), F.col("part").alias("pu")), "u").join(names.select(F.col("node").alias("v"), F.col("part").alias("pv")), "v")
         out = cut(named.where("pu <> pv").select("w", "u", "v", "pu", "pv"))
         if out.count() <= local:
-            last = out.groupBy(F.lit(0)).applyInPandas(lambda t: _forest(t), EDGE)
+            last = out.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(lambda t: _forest(t), EDGE)
             return last if tree is None else tree.union(last)
         least = out.select(F.explode(F.array("pu", "pv")).alias("part"), F.struct("w", "u", "v", "pu", "pv").alias("e")).groupBy("part").agg(F.min("e").alias("e"))
         taken = cut(least.select("e.*").distinct())
