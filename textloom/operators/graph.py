@@ -15,9 +15,9 @@ def meet(rows: DataFrame, known: DataFrame, key: str, size: str, total: int, by:
     """Inner join of `rows` with `known`, which has one row per key and in `size` about how many rows the key has.
 
     Keys of more than max(HOT, total / SHARE) rows are split: their rows are dealt over as many salts as that limit
-    goes into their size (by a hash of the columns `by`, or of all), and their row of `known` is repeated for each salt. All sizes sum to `total`, so there are at
-    most SHARE such keys, which is the bound of the one table that is broadcast (key and number of salts). Where there is
-    none, the join is a plain one. `known` is read twice, so it should be written already.
+    goes into their size (by a hash of the columns `by`, or of all), and their row of `known` is repeated for each salt.
+    All sizes sum to `total`, so there are at most SHARE such keys, which is the bound of the one table that is
+    broadcast (key and number of salts). Where there is none, the join is a plain one. `known` is read twice, so it should be written already.
     """
     limit = max(HOT, total // SHARE)
     salts = F.ceil(F.col(size) / F.lit(float(limit))).cast("int")
