@@ -39,11 +39,12 @@ def line_dedup(pages: DataFrame, lines: Column, site: Column, id_col: str = "pag
     """One row per input row: page_id, host, n_lines, n_dropped, text (the lines that stay).
 
     A line is dropped from all pages of a host if more than `ratio` of the host's pages, and at least `least_pages`,
-    hold it. The lines of all pages are written to the shared folder, so that no page is parsed twice. Each page counts a line once (by its MD5 digest); counts are combined before the shuffle, so a line that
-    is on all pages of a hot host costs one row per task. Lines below `least_pages` go before they meet the
-    host totals, those of a hot host dealt over tasks. What is left is one short list per host, as its ratios sum to no more than the mean lines of its pages.
-    The lists are broadcast if their summed size allows it; else pages meet them by host, and a hot host is dealt over
-    as many tasks as its pages need (see meet()). Pages filter their lines in place.
+    hold it. The lines of all pages are written to the shared folder, so that no page is parsed twice. Each page counts
+    a line once (by its MD5 digest); counts are combined before the shuffle, so a line that is on all pages of a hot
+    host costs one row per task. Lines below `least_pages` go before they meet the host totals, those of a hot host
+    dealt over tasks. What is left is one short list per host, as its ratios sum to no more than the mean lines of its
+    pages. The lists are broadcast if their summed size allows it; else pages meet them by host, and a hot host is
+    dealt over as many tasks as its pages need (see meet()). Pages filter their lines in place.
 
     Cases: null or empty html: no lines, empty text; null, empty or malformed url: all share the host ''; a null id is
     returned as it is; repeated rows count as pages each; a ratio that equals the limit stays; an empty table gives no
