@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 SIZE = 200_000  # words of a dictionary, the most frequent ones: the bound of what is broadcast
+SLICE = 1 << 18  # bytes of texts that a task turns into Python's objects at a time
 TAGS = "BMES"  # a letter begins, continues or ends a word, or is one
 FOLLOWS = {"B": "ME", "M": "ME", "E": "BS", "S": "BS"}  # fixed by what the tags mean
 
@@ -132,6 +133,15 @@ def cut_words(text: str, model: Words) -> list[str]:
     return out
 
 
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[pa.Array]:
+    """A batch in parts of about `size` bytes, one row at least: what a task holds as Python's own objects."""
+    if not len(column):
+        return
+    rows = max(1, size * len(column) // max(1, column.get_total_buffer_size()))
+    for i in range(0, len(column), rows):
+        yield column.slice(i, rows)
+
+
 def segmented(docs: DataFrame, model: Words, text: str = "text", out: str = "words") -> DataFrame:
     """Adds the words of each text, blanks and all else that isn't a letter being ends of words. The model is broadcast once; no shuffle.
 
@@ -142,11 +152,14 @@ def segmented(docs: DataFrame, model: Words, text: str = "text", out: str = "wor
     @F.arrow_udf("array<string>")
     def words(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for part in texts:
-            found = []
-            for t in part.to_pylist():
-                runs = "".join(c if c.isalpha() else " " for c in t).split() if t is not None else []
-                found.append([w for run in runs for w in cut_words(run, shared.value)] if t is not None else None)
-            yield pa.array(found, pa.list_(pa.string()))
+            done = [pa.array([], pa.list_(pa.string()))]
+            for some in slices(part):
+                found = []
+                for t in some.to_pylist():
+                    runs = "".join(c if c.isalpha() else " " for c in t).split() if t is not None else []
+                    found.append([w for run in runs for w in cut_words(run, shared.value)] if t is not None else None)
+                done.append(pa.array(found, pa.list_(pa.string())))
+            yield pa.concat_arrays(done)
 
     return docs.withColumn(out, words(F.col(text)))
 
@@ -154,8 +167,11 @@ def segmented(docs: DataFrame, model: Words, text: str = "text", out: str = "wor
 @F.arrow_udf(ArrayType(IntegerType()))
 def boundaries(words: pa.Array) -> pa.Array:
     """Where words end in the text without blanks, the last end left out; none for no words or null."""
-    out = []
-    for some in words.to_pylist():
-        ends = np.cumsum([len(w) for w in some or []], dtype=np.int32)
-        out.append(ends[:-1])
-    return pa.array(out, pa.list_(pa.int32()))
+    done = [pa.array([], pa.list_(pa.int32()))]
+    for part in slices(words):
+        out = []
+        for some in part.to_pylist():
+            ends = np.cumsum([len(w) for w in some or []], dtype=np.int32)
+            out.append(ends[:-1])
+        done.append(pa.array(out, pa.list_(pa.int32())))
+    return pa.concat_arrays(done)
