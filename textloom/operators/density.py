@@ -32,14 +32,18 @@ def spanning(ids: np.ndarray, x: np.ndarray, core: np.ndarray) -> list[tuple[flo
     left = np.ones(n, dtype=bool)
     out = []
     at = int(np.argmin(ids))
+    squares = np.einsum("ij,ij->i", x, x)
+    slack = np.sqrt(1e-13 * (squares + squares.max(initial=0))) + 1e-8  # of distances by the product, and of rounded ones
     for _ in range(n - 1):
         left[at] = False
-        far = np.maximum(np.maximum(exact_distance(x, x[at]), core), core[at])
+        about = np.sqrt(np.maximum(squares + squares[at] - 2 * (x @ x[at]), 0)) - slack
+        some = np.flatnonzero(left & (about <= w) & (np.maximum(core, core[at]) <= w))  # the others can't be better
+        far = np.maximum(np.maximum(exact_distance(x[some], x[at]), core[some]), core[at])
         # (least, most): the ends of the edge to `at`, against those of the best edge so far
-        low, high = np.minimum(ids, ids[at]), np.maximum(ids, ids[at])
-        own_low, own_high = np.minimum(ids, ids[near]), np.maximum(ids, ids[near])
-        better = left & ((far < w) | ((far == w) & ((low < own_low) | ((low == own_low) & (high < own_high)))))
-        w[better], near[better] = far[better], at
+        low, high = np.minimum(ids[some], ids[at]), np.maximum(ids[some], ids[at])
+        own_low, own_high = np.minimum(ids[some], ids[near[some]]), np.maximum(ids[some], ids[near[some]])
+        better = (far < w[some]) | ((far == w[some]) & ((low < own_low) | ((low == own_low) & (high < own_high))))
+        w[some[better]], near[some[better]] = far[better], at
         ties = np.flatnonzero(left & (w == w[left].min()))
         ends = np.sort(np.stack([ids[ties], ids[near[ties]]]), axis=0)
         at = int(ties[np.lexsort((ends[1], ends[0]))[0]])
