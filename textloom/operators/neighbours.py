@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 4096  # queries that a task holds
-TILE = 1 << 21  # distances that a task holds
+TILE = 1 << 20  # distances that a task holds
 FOUND = "seed long, pool long, far double"
 
 
@@ -57,6 +57,7 @@ class Best:
         self.pool = np.zeros(0, dtype=np.int64)
         self.dist = np.zeros(0)
         self.limit = np.full(len(ids), np.inf)
+        self.order = np.argsort(ids, kind="stable")
 
     def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         step = max(1, TILE // max(1, len(self.ids)))
@@ -65,13 +66,17 @@ class Best:
 
     def _add(self, ids: np.ndarray, x: np.ndarray) -> None:
         d, slack = self.far(self.x, x)
-        own = self.ids[:, None] == ids[None, :] if self.others else None
-        if own is not None:
-            d[own] = np.inf
+        if self.others:
+            first, last = (np.searchsorted(self.ids, ids, side, self.order) for side in ("left", "right"))
+            col = np.repeat(np.arange(len(ids)), last - first)
+            d[self.order[np.arange(len(col)) - np.repeat(np.cumsum(last - first) - last, last - first)], col] = np.inf
         limit = self.limit
-        if len(ids) > self.k:
+        if len(ids) > self.k and np.isinf(limit).any():  # once every query has k rows, few pool rows are nearer
             limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
-        row, col = np.nonzero((d <= (limit + 2 * slack)[:, None]) & (d < np.inf))
+        near = d <= (limit + 2 * slack)[:, None]
+        if np.isinf(limit).any():
+            near &= d < np.inf
+        row, col = np.divmod(np.flatnonzero(near), len(ids))  # much faster than by rows and columns
         near = d[row, col]
         if self.refine is not None:
             near = np.concatenate([np.zeros(0), *[self.refine(self.x[row[i : i + 50_000]], x[col[i : i + 50_000]]) for i in range(0, len(row), 50_000)]])
@@ -103,7 +108,11 @@ def cosine_distance(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
 def euclidean_distance(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distances by one matrix product, and by row how far they may be off."""
     squares = (a * a).sum(axis=1), (b * b).sum(axis=1)
-    d = np.sqrt(np.maximum(squares[0][:, None] + squares[1][None, :] - 2 * (a @ b.T), 0))
+    d = a @ b.T
+    d *= -2
+    d += squares[0][:, None]
+    d += squares[1]
+    np.sqrt(np.maximum(d, 0, out=d), out=d)
     return d, np.sqrt(1e-13 * (squares[0] + squares[1].max(initial=0)))
 
 
