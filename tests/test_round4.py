@@ -71,3 +71,26 @@ def test_pairs_are_sent_packed_and_come_in_runs(spark):
     assert brute == {(a, b): n for a in found.a.unique() for b in found.b.unique() if a < b and (n := sum({a, b} <= r for r in rows))}
     changes = sum(a != c and b != d for a, b, c, d in zip(found.a[1:], found.b[1:], found.a, found.b, strict=False))
     assert changes < 3 * 30  # a term's pairs stand together, those where it is the first before the others or behind them
+
+
+def test_keyword_weights_are_added_in_tasks(spark):
+    """A task sends one row for each group and term, not for each document; n-grams skip nulls, groups may be null."""
+    rng = np.random.default_rng(7)
+    rows = [(k, [None, "x", "y"][k % 3], [None if w == 9 else f"w{w}" for w in rng.integers(0, 10, int(rng.integers(0, 9)))]) for k in range(60)] + [(60, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, pool string, tokens array<string>")
+    terms = [(g, [*(t or []), *(" ".join(w for w in p if w is not None) for p in zip(t or [], (t or [])[1:], strict=False))]) for _, g, t in rows]
+    df = {w: sum(w in t for _, t in terms) for w in {w for _, t in terms for w in t if w is not None}}
+    df = {w: n for w, n in df.items() if n >= 2}
+    want = {}
+    for g, t in terms:
+        tf = {w: t.count(w) for w in set(t) if w in df}
+        weight = {w: n * (np.log((1 + len(rows)) / (1 + df[w])) + 1) for w, n in tf.items()}
+        length = sum(x * x for x in weight.values()) ** 0.5
+        for w, x in weight.items():
+            want[g, w] = want.get((g, w), 0) + round(x / length, 6)
+    sent = cooccurrence.tfidf(docs, 2, grams=2, carry=("pool",), parts=2, by="pool").collect()
+    found = {}
+    for r in sent:
+        found[r.pool, r.term] = found.get((r.pool, r.term), 0) + r.weight / 1e6
+    assert found == {k: pytest.approx(v, abs=2e-5) for k, v in want.items()} and len(sent) <= 2 * len(want)
+    assert cooccurrence._millionths(np.array([0.0000005, 0.0000015, 0.1234567])).tolist() == [0, 2, 123457]
